@@ -1,0 +1 @@
+"""A log and lakehouse engine made of Spark plans."""
