@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, rules, tokens
+from . import bpe, langid, quality, rules, tokens, urls
 from .text import Scratch
 
 
@@ -41,5 +42,53 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op9"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op5_token_counts, op8_bpe, op9_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+#: A dated filter list: domain, list, action, date. Fixed values of the query, not of the operator.
+URL_ENTRIES = [
+    ("www.cheap-pills.example.com", "spam", "add", "2024-01-01"),
+    ("cheap-pills.example.com", "spam", "add", "2024-01-01"),
+    ("cheap-pills.example.com", "spam", "remove", "2024-07-01"),
+    ("tionsh.example.net", "adult", "add", "2024-02-10"),
+    ("tionsh.example.net", "adult", "remove", "2024-05-20"),
+    ("tionsh.example.net", "adult", "add", "2024-09-01"),
+    ("blog.tionsh.example.net", "allow", "add", "2024-03-01"),
+    ("blog.tionsh.example.net", "allow", "remove", "2024-10-15"),
+    ("tionble.example.com", "malware", "add", "2024-04-01"),
+    ("tionble.example.com", "spam", "add", "2024-04-01"),
+    ("tionble.example.com", "spam", "remove", "2024-06-01"),
+    ("thther.example.org", "spam", "add", "2024-05-05"),
+    ("m.thther.example.org", "allow", "add", "2024-08-08"),
+    ("tiontion.example.com", "adult", "add", "2024-01-15"),
+    ("tiontion.example.com", "adult", "remove", "2024-01-16"),
+    ("ththan.example.net", "gambling", "add", "2024-06-30"),
+    ("ththan.example.net", "gambling", "add", "2024-08-30"),
+    ("example.org", "parked", "add", "2024-11-01"),
+    ("example.org", "parked", "remove", "2024-12-01"),
+]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages has no fetch time, so one is derived from the id: 2024-01-01 plus page_id mod 366 days."""
+    entries = spark.createDataFrame(URL_ENTRIES, "domain string, list string, action string, date string")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched"))
+    return urls.judge(captures, entries).withColumn("fetched", F.col("fetched").cast("string"))
+
+
+OP10_SQL = f"""
+WITH entries(domain, list, action, date) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in URL_ENTRIES)}),
+days AS (SELECT domain, list, date, max(action) AS action FROM entries GROUP BY ALL),
+spans AS (SELECT * FROM (SELECT *, lead(date) OVER (PARTITION BY domain, list ORDER BY date) AS until FROM days) WHERE action = 'add'),
+captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
+         nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host FROM pages),
+ranked AS (
+  SELECT c.page_id, s.domain, s.list, row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.domain) DESC, s.list <> 'allow', s.list) AS n
+  FROM captures c JOIN spans s ON (c.host = s.domain OR ends_with(c.host, '.' || s.domain))
+   AND s.date <= c.fetched AND (s.until IS NULL OR c.fetched < s.until))
+SELECT c.page_id, c.url, CAST(c.fetched AS VARCHAR) AS fetched, c.host, r.domain AS matched_domain, r.list AS matched_list,
+       coalesce(r.list <> 'allow', false) AS blocked
+FROM captures c LEFT JOIN ranked r ON r.page_id = c.page_id AND r.n = 1
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op5_token_counts, op8_bpe, op9_quality_rules, op10_url_filters)}
+ORACLE_SQL: dict[str, str] = {"op10_url_filters": OP10_SQL}
