@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, quality, rules, tokens, urls
+from . import bpe, langid, neardup, quality, rules, suffix, tokens, urls
 from .text import Scratch
 
 
@@ -35,6 +35,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
@@ -95,5 +99,5 @@ SELECT c.page_id, c.url, CAST(c.fetched AS VARCHAR) AS fetched, c.host, r.domain
 FROM captures c LEFT JOIN ranked r ON r.page_id = c.page_id AND r.n = 1
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_near_duplicates, op5_token_counts, op8_bpe, op9_quality_rules, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_near_duplicates, op4_suffix_dedup, op5_token_counts, op8_bpe, op9_quality_rules, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {"op10_url_filters": OP10_SQL}
