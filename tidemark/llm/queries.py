@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, quality, rules, suffix, tokens, urls
+from . import bpe, decontam, langid, lm, neardup, quality, rules, suffix, tokens, urls
 from .text import Scratch
 
 
@@ -43,6 +43,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -103,5 +107,5 @@ SELECT c.page_id, c.url, CAST(c.fetched AS VARCHAR) AS fetched, c.host, r.domain
 FROM captures c LEFT JOIN ranked r ON r.page_id = c.page_id AND r.n = 1
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_near_duplicates, op4_suffix_dedup, op5_token_counts, op7_decontamination, op8_bpe, op9_quality_rules, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_near_duplicates, op4_suffix_dedup, op5_token_counts, op6_lm_scores, op7_decontamination, op8_bpe, op9_quality_rules, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {"op10_url_filters": OP10_SQL}
