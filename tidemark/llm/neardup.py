@@ -34,6 +34,8 @@ ROWS = HASHES // BANDS
 LEAST = 75  # per cent
 SIGNATURE_LEAST = 0.55
 STAR_ROUNDS = 4
+#: Star rounds end early when buckets that are still open have no more pairs than this for each of their rows.
+PAIRS_A_ROW = 24
 #: Buckets up to this size are paired by a join; larger ones in blocks of as many members.
 BLOCK = 64
 
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         size = open_rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum((F.col("n") - 1) / 2), F.lit(0)).alias("pairs")).first()
         if not size.rows:
             break
-        last = i == STAR_ROUNDS or (i and size.pairs <= 4 * size.rows)
+        last = i == STAR_ROUNDS or (i and size.pairs <= PAIRS_A_ROW * size.rows)
         if last:
             pairs = cross_pairs(open_rows, sigs)
         else:
