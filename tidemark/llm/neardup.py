@@ -8,8 +8,7 @@
    it on their full sets, and the links are merged into components. The candidates of a round are at most one
    for each member, so a bucket of n members never makes n * n pairs. Rounds use different centres.
 5. What is left are buckets that still hold several components. All their pairs across components are
-   compared: small buckets by a join, large ones block by block, where only pairs whose signatures agree
-   enough leave a task. So no link is lost to a cap. Signatures only sort out pairs that are far below the
+   compared, block by block; only pairs whose signatures agree enough leave a task. So no link is lost to a cap. Signatures only sort out pairs that are far below the
    threshold (SIGNATURE_LEAST, over 5 standard deviations); links are always confirmed on full sets.
 
 A document is a doc_id: rows that repeat one count once, by the smallest set key among them. Rows with a null
@@ -36,7 +35,7 @@ SIGNATURE_LEAST = 0.55
 STAR_ROUNDS = 4
 #: Star rounds end early when buckets that are still open have no more pairs than this for each of their rows.
 PAIRS_A_ROW = 24
-#: Buckets up to this size are paired by a join; larger ones in blocks of as many members.
+#: Members of a block, about.
 BLOCK = 64
 
 _RNG = np.random.default_rng(77)
@@ -143,47 +142,69 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, sa, sb) those whose signatures agree in SIGNATURE_LEAST of the minima."""
+def _group_pairs(rep: np.ndarray, comp: np.ndarray, block: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the members of one block, or of two, the pairs across components (and blocks) whose signatures agree."""
+    two = block.min() != block.max()
+    i, j = np.nonzero((comp[:, None] != comp[None]) & ((block[:, None] < block[None]) if two else (rep[:, None] < rep[None])))
+    ok = np.zeros(len(i), dtype=bool)
+    for s in range(0, len(i), 8192):
+        ok[s : s + 8192] = (sig[i[s : s + 8192]] == sig[j[s : s + 8192]]).sum(axis=1) >= SIGNATURE_LEAST * HASHES
+    x, y = rep[i[ok]], rep[j[ok]]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _pairs_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows (bucket, bi, bj, rep, comp, block, sig), which come ordered by bucket, bi and bj."""
+    held: list[pa.RecordBatch] = []
+    seen: set[tuple[int, int]] = set()
+
+    def done(rows: pa.Table) -> pa.RecordBatch | None:
+        rep, comp, block = (rows.column(c).to_numpy() for c in ("rep", "comp", "block"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+        key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("bucket", "bi", "bj")])
+        edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(rep)]]).tolist()
+        new = []
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            if e - s > 1:
+                new += zip(*(x.tolist() for x in _group_pairs(rep[s:e], comp[s:e], block[s:e], sig[s:e])), strict=True)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        new = list(dict.fromkeys(p for p in new if p not in seen))
+        seen.update(new)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
+
+    last = None
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for c in ("sa", "sb"))
-        ok = (x == y).mean(axis=1) >= SIGNATURE_LEAST
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("a", "b")], ["a", "b"]).filter(pa.array(ok))
-
-
-def _block_pairs(table: pa.Table) -> pa.Table:
-    """Of the members of two blocks of a bucket, the pairs across components whose signatures agree."""
-    rep, comp, side = (table.column(c).to_numpy() for c in ("rep", "comp", "block"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
-    a, b = [], []
-    one = side.min() == side.max()
-    for i in range(len(rep)):
-        if not one and side[i] != table.column("bi")[0].as_py():
+        if not b.num_rows:
             continue
-        ok = (comp != comp[i]) & ((rep > rep[i]) if one else (side != side[i]))
-        j = np.flatnonzero(ok)
-        j = j[(sig[j] == sig[i]).mean(axis=1) >= SIGNATURE_LEAST]
-        a += [rep[i]] * len(j)
-        b += rep[j].tolist()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        first = tuple(b.column(k)[0].as_py() for k in range(3))
+        if held and first != last:
+            yield done(pa.Table.from_batches(held))
+            held = []
+        # the last group may go on in the next batch
+        key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        cut = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+        cut = int(cut[-1]) + 1 if len(cut) else 0
+        if cut:
+            yield done(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            held = []
+        held.append(b.slice(cut))
+        last = tuple(key[:, -1].tolist())
+    if held:
+        yield done(pa.Table.from_batches(held))
 
 
 def cross_pairs(open_rows: DataFrame, sigs: DataFrame) -> DataFrame:
     """All pairs (a, b) of members of one bucket but different components, less those with unlike signatures.
 
-    open_rows: (bucket, rep, comp, n), n the bucket's members.
+    open_rows: (bucket, rep, comp, n), n the bucket's members. A bucket is dealt out in blocks of about BLOCK
+    members, each two of which meet once; pairs that aren't candidates never leave the task.
     """
-    small = open_rows.filter(F.col("n") <= BLOCK)
-    x, y = small.select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca")), small.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    pairs = x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    near = pairs.mapInArrow(agreeing, "a bigint, b bigint")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = open_rows.filter(F.col("n") > BLOCK).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
-    dealt = large.select("bucket", "rep", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", "rep", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).join(sigs.select("rep", "sig"), "rep")
-    far = dealt.groupBy("bucket", "bi", "bj").applyInArrow(_block_pairs, "a bigint, b bigint")
-    return near.unionByName(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    dealt = open_rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("bucket", "rep", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "comp", "block").join(sigs.select("rep", "sig"), "rep")
+    dealt = dealt.select("bucket", "bi", "bj", "rep", "comp", "block", "sig").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    return dealt.mapInArrow(_pairs_of_groups, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
