@@ -63,7 +63,7 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
 def units(t: Texts) -> dict[str, np.ndarray]:
     """Anchor hash, unit hash, document, first start and number of starts, in text order; c: repetitions.
 
-    Neighbouring equal units (a run of one character) are one row with their number in c.
+    Neighbouring equal units (a run of one character) are one row with their number in c; n is of each of them.
     """
     parts = [_units(t, s, min(s + _BLOCK, len(t.data))) for s in range(0, max(len(t.data), 1), _BLOCK)]
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
@@ -96,9 +96,9 @@ def _units(t: Texts, begin: int, end: int) -> dict[str, np.ndarray]:
     ah, uh = gram[anchor[new]], t.span_hash(lo + begin, hi + begin + WIDTH)
     same = np.concatenate([[False], (ah[1:] == ah[:-1]) & (uh[1:] == uh[:-1]) & (lo[1:] == hi[:-1] + 1)])
     head = np.flatnonzero(~same)
-    tail = np.concatenate([head[1:] - 1, [len(lo) - 1]])
+    c = np.diff(np.concatenate([head, [len(lo)]]))
     doc = t.doc_of(lo[head] + begin)
-    return {"ah": ah[head], "uh": uh[head], "doc": doc, "lo": lo[head] + begin - t.offsets[doc], "n": hi[tail] - lo[head] + 1, "c": tail - head + 1}
+    return {"ah": ah[head], "uh": uh[head], "doc": doc, "lo": lo[head] + begin - t.offsets[doc], "n": hi[head] - lo[head] + 1, "c": c}
 
 
 def anchored(docs: DataFrame) -> DataFrame:
@@ -313,9 +313,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sources = scratch.write(sources.select("ah", "uh", F.least("copies", F.lit(2)).cast("int").alias("copies"), "src.*"), "sources")
     groups = sources.groupBy("ah").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP_LIMIT).select("ah", F.lit(True).alias("big"))
     asked = sources.join(groups, "ah", "left").withColumn("big", F.coalesce("big", F.lit(False)))
-    # a run of equal units asks for one of them
-    one = F.when(F.col("copies") > 1, F.least("n", F.lit(_REACH))).otherwise(F.col("n"))
-    asked = asked.groupBy("d", "h").agg(F.collect_list(F.struct("ah", "uh", "copies", "lo", one.alias("n"), "big")).alias("asked"))
+    asked = asked.groupBy("d", "h").agg(F.collect_list(F.struct("ah", "uh", "copies", "lo", "n", "big")).alias("asked"))
     cut = docs.join(asked.hint("shuffle_hash"), ["d", "h"]).select(F.coalesce("text", F.lit("")).alias("text"), "asked")
     cut = scratch.write(cut.mapInArrow(cut_out, "ah bigint, uh bigint, copies int, n int, unit binary, big boolean"), "cut")
     dealt = cut.filter("NOT big").select("ah", "uh", "copies", "n", "unit").repartition("ah").sortWithinPartitions("ah")
@@ -328,7 +326,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop("cut", "sources")
 
     moved = F.transform("spans", lambda x: F.struct((x.s + F.col("lo")).alias("s"), (x.e + F.col("lo")).alias("e")))
-    whole = F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") + (WIDTH - 1)).alias("e")))
+    whole = F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("c") * F.col("n") + (WIDTH - 1)).alias("e")))
     runs = again.filter("several").join(found, ["ah", "uh"]).select("d", "h", F.when(F.col("c") > 1, whole).otherwise(moved).alias("spans"))
     full = again.filter("NOT several").select("d", "h", whole.alias("spans"))
     return runs.unionByName(full).groupBy("d", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
