@@ -164,6 +164,20 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, decoded string", limit=1 << 20)
 
 
+def encode_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n_tokens, ids array<int> and whether they decode to the very text, of every row of docs."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        t = table(tokenizer)
+        texts = ["" if x is None else x for x in b.column(1).to_pylist()]
+        ids, at = t.encode(texts)
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        same = [x.encode() == y for x, y in zip(texts, t.decode(ids, at), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean", limit=1 << 20)
+
+
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and decoded text of rows (doc_id, ids array<int>); a null list is an empty text."""
 
