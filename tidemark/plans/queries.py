@@ -351,7 +351,7 @@ _WHO = ["user:alice", "user:bob", "svc:etl", "admin", "admin:ops", "nobody"]
 
 
 @query(f"""WITH acl(principal, resource_type, name, op, permission) AS (VALUES {_values(_ACLS)}), who(principal) AS (VALUES {_values([(w,) for w in _WHO])}),
-req AS (SELECT n_nationkey * 100 + length(principal) AS request_id, principal, CASE WHEN n_nationkey % 5 = 4 THEN 'group' ELSE 'topic' END AS resource_type, CAST(n_nationkey % 4 AS VARCHAR) AS resource, CASE WHEN n_nationkey % 2 = 0 THEN 'read' ELSE 'write' END AS operation FROM nation, who),
+req AS (SELECT CAST(n_nationkey * 100 + length(principal) AS BIGINT) AS request_id, principal, CASE WHEN n_nationkey % 5 = 4 THEN 'group' ELSE 'topic' END AS resource_type, CAST(n_nationkey % 4 AS VARCHAR) AS resource, CASE WHEN n_nationkey % 2 = 0 THEN 'read' ELSE 'write' END AS operation FROM nation, who),
 hit AS (SELECT req.*, name, permission FROM req LEFT JOIN acl ON acl.principal = req.principal AND acl.resource_type = req.resource_type AND (op = '*' OR op = operation))
 SELECT request_id, principal, resource_type, resource, operation, CASE WHEN principal = 'admin' OR starts_with(principal, 'admin:') THEN true
  WHEN bool_or(coalesce(name = resource AND permission = 'deny', false)) THEN false WHEN bool_or(coalesce(name = resource AND permission = 'allow', false)) THEN true
@@ -360,7 +360,7 @@ FROM hit GROUP BY request_id, principal, resource_type, resource, operation""")
 def acl_check(spark, d):
     n = fx.table(spark, d, "nation")
     who = F.explode(F.array(*[F.lit(w) for w in _WHO])).alias("principal")
-    req = n.select(who, "n_nationkey").select((F.col("n_nationkey") * 100 + F.length("principal")).alias("request_id"), "principal", F.when(F.col("n_nationkey") % 5 == 4, "group").otherwise("topic").alias("resource_type"), (F.col("n_nationkey") % 4).cast("string").alias("resource"), F.when(F.col("n_nationkey") % 2 == 0, "read").otherwise("write").alias("operation"))
+    req = n.select(who, "n_nationkey").select((F.col("n_nationkey") * 100 + F.length("principal")).cast("bigint").alias("request_id"), "principal", F.when(F.col("n_nationkey") % 5 == 4, "group").otherwise("topic").alias("resource_type"), (F.col("n_nationkey") % 4).cast("string").alias("resource"), F.when(F.col("n_nationkey") % 2 == 0, "read").otherwise("write").alias("operation"))
     return admin.check_access(req, spark.createDataFrame(_ACLS, "principal string, resource_type string, resource_name string, operation string, permission string"))
 
 
@@ -441,7 +441,7 @@ def invariant_poll_contiguity(spark, d):
     return verify.poll_gaps(_history(spark, d)[1]).drop("reader_id")
 
 
-@query(_HIST + "SELECT topic, \"offset\", before AS highest_before FROM (SELECT topic, \"offset\", max(\"offset\") OVER (PARTITION BY topic ORDER BY start_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM wr) WHERE before > offset")
+@query(_HIST + "SELECT topic, \"offset\", before AS highest_before FROM (SELECT topic, \"offset\", max(\"offset\") OVER (PARTITION BY topic ORDER BY start_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM wr) WHERE before > \"offset\"")
 def invariant_write_causal(spark, d):
     return verify.causal_violations(_history(spark, d)[0])
 
