@@ -20,7 +20,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {fx.SQL}{sql}" if sql.lstrip().startswith((",", "SELECT")) else sql
+            SQL[f.__name__] = sql if sql.lstrip().startswith("WITH") else f"WITH {fx.SQL}{sql}"
         return f
 
     return add
