@@ -43,7 +43,7 @@ WIDTH = 200
 GRAM = 40
 GROUP_LIMIT = 20_000
 #: Bytes of units that a task sorts at a time; a group isn't cut.
-SORT_BYTES = 3 << 20
+SORT_BYTES = 1 << 20
 _REACH = WIDTH - GRAM + 1
 _PLACE = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 23
@@ -147,7 +147,7 @@ class SuffixArray:
     def _rank(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key, kind="stable")
         k = key[order]
-        out = np.empty(len(key), dtype=np.int64)
+        out = np.empty(len(key), dtype=np.int32)
         out[order] = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]])) if len(k) else 0
         return out
 

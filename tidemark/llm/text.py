@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import prepared
 
 #: Documents are worked on in slices of about this many text bytes; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Rows in an Arrow batch that goes to a Python worker.
 BATCH_ROWS = 512
 
