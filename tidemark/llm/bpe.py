@@ -46,7 +46,7 @@ class WordTable:
         #: White space and what follows it up to the next. No word of the pattern crosses such a border.
         self.chunks_re = re.compile(r"\s*\S+|\s+")
         #: The library's tables of letters, digits and spaces and those here surely agree below U+2000.
-        self.plain = regex.compile("[\x00-\x1b\x20-\u1fff]*")
+        self.plain = regex.compile("[\x01-\x1b\x20-\u1fff]*")
         self.pieces = pa.array(self._pieces(), pa.large_binary())
         lengths = np.diff(np.frombuffer(self.pieces.buffers()[1], dtype=np.int64))
         self.piece_len, self.piece_at = lengths, np.concatenate([[0], np.cumsum(lengths)])

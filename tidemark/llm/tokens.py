@@ -47,8 +47,8 @@ class PieceCounter:
         specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) or r"(?!)")
         self.pieces = regex.compile(PIECES)
-        #: Characters for which NFC, white space and lower-casing here and in the library surely agree.
-        self.plain = regex.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
+        #: Characters (not NUL, which marks other forms) for which NFC, white space and lower-casing here and in the library surely agree.
+        self.plain = regex.compile("[\x01-\x1b\x20-\u012f\u0131-\u024f]*")
         self.table: dict[str, int] = {}
         self.piece_table: dict[str, int] = {}
         self.prefix_table: dict[str, int] = {}
