@@ -8,7 +8,7 @@
    it on their full sets, and the links are merged into components. The candidates of a round are at most one
    for each member, so a bucket of n members never makes n * n pairs. Rounds use different centres.
 5. What is left are buckets that still hold several components. All their pairs across components are
-   compared, block by block; only pairs whose signatures agree enough leave a task. So no link is lost to a cap. Signatures only sort out pairs that are far below the
+   compared, block by block; only pairs that signatures and smallest shingle hashes don't rule out leave a task. So no link is lost to a cap. Signatures only sort out pairs that are far below the
    threshold (SIGNATURE_LEAST, over 5 standard deviations); links are always confirmed on full sets.
 
 A document is a doc_id: rows that repeat one count once, by the smallest set key among them. Rows with a null
@@ -32,6 +32,9 @@ WORDS, HASHES, BANDS = 5, 128, 32
 ROWS = HASHES // BANDS
 LEAST = 75  # per cent
 SIGNATURE_LEAST = 0.55
+#: Smallest shingle hashes (32 bits) that a member brings to its blocks. A set that has no more is compared as a
+#: whole there; of larger sets the share of common hashes must reach LOW_LEAST, 5 standard deviations below LEAST.
+LOW, LOW_LEAST = 1024, 0.68
 STAR_ROUNDS = 4
 #: Star rounds end early when buckets that are still open have no more pairs than this for each of their rows.
 PAIRS_A_ROW = 24
@@ -142,31 +145,53 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _group_pairs(rep: np.ndarray, comp: np.ndarray, block: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the members of one block, or of two, the pairs across components (and blocks) whose signatures agree."""
+def lows(texts: DataFrame) -> DataFrame:
+    """rep and its LOW smallest shingle hashes, sorted, of texts (doc_id, text)."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(texts_of(b.column(1), lower=True))
+        cut = [np.unique((mix(x ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(32)).astype(np.uint32))[:LOW].tobytes() for x in sets]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pa.binary())], ["rep", "low"])
+
+    return map_slices(texts.select("doc_id", "text"), run, "rep bigint, low binary")
+
+
+def may_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets with these smallest hashes can be similar enough. Equal hashes of different shingles are
+    too rare to take more than one per cent off."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    if len(x) < LOW and len(y) < LOW:
+        return 100 * both >= (LEAST - 1) * (len(x) + len(y) - both)
+    union = np.union1d(x, y)[:LOW]
+    return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)) >= LOW_LEAST * len(union)
+
+
+def _group_pairs(rep: np.ndarray, comp: np.ndarray, block: np.ndarray, sig: np.ndarray, low: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Of the members of one block, or of two, the pairs across components (and blocks) that may be links."""
     two = block.min() != block.max()
     i, j = np.nonzero((comp[:, None] != comp[None]) & ((block[:, None] < block[None]) if two else (rep[:, None] < rep[None])))
     ok = np.zeros(len(i), dtype=bool)
     for s in range(0, len(i), 8192):
         ok[s : s + 8192] = (sig[i[s : s + 8192]] == sig[j[s : s + 8192]]).sum(axis=1) >= SIGNATURE_LEAST * HASHES
-    x, y = rep[i[ok]], rep[j[ok]]
-    return np.minimum(x, y), np.maximum(x, y)
+    pairs = [(x, y) for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True) if may_link(low[x], low[y])]
+    return [(min(int(rep[x]), int(rep[y])), max(int(rep[x]), int(rep[y]))) for x, y in pairs]
 
 
 def _pairs_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows (bucket, bi, bj, rep, comp, block, sig), which come ordered by bucket, bi and bj."""
+    """Pairs of rows (bucket, bi, bj, rep, comp, block, sig, low), which come ordered by bucket, bi and bj."""
     held: list[pa.RecordBatch] = []
     seen: set[tuple[int, int]] = set()
 
     def done(rows: pa.Table) -> pa.RecordBatch | None:
         rep, comp, block = (rows.column(c).to_numpy() for c in ("rep", "comp", "block"))
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+        low = [np.frombuffer(x, dtype=np.uint32) for x in rows.column("low").to_pylist()]
         key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("bucket", "bi", "bj")])
         edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(rep)]]).tolist()
         new = []
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             if e - s > 1:
-                new += zip(*(x.tolist() for x in _group_pairs(rep[s:e], comp[s:e], block[s:e], sig[s:e])), strict=True)
+                new += _group_pairs(rep[s:e], comp[s:e], block[s:e], sig[s:e], low[s:e])
         if len(seen) > 1_000_000:
             seen.clear()
         new = list(dict.fromkeys(p for p in new if p not in seen))
@@ -194,16 +219,19 @@ def _pairs_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield done(pa.Table.from_batches(held))
 
 
-def cross_pairs(open_rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """All pairs (a, b) of members of one bucket but different components, less those with unlike signatures.
+def cross_pairs(open_rows: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs (a, b) of members of one bucket but different components that may be links.
 
     open_rows: (bucket, rep, comp, n), n the bucket's members. A bucket is dealt out in blocks of about BLOCK
-    members, each two of which meet once; pairs that aren't candidates never leave the task.
+    members, each two of which meet once. Signatures sort out most pairs there, and the smallest shingle hashes
+    nearly all the others, so that little more than links ever leaves a task.
     """
+    asked = open_rows.select("rep").distinct()
+    known = sigs.join(asked, "rep", "left_semi").join(lows(texts.join(asked.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")), "rep")
     dealt = open_rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
     dealt = dealt.select("bucket", "rep", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "comp", "block").join(sigs.select("rep", "sig"), "rep")
-    dealt = dealt.select("bucket", "bi", "bj", "rep", "comp", "block", "sig").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "comp", "block").join(known, "rep")
+    dealt = dealt.select("bucket", "bi", "bj", "rep", "comp", "block", "sig", "low").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     return dealt.mapInArrow(_pairs_of_groups, "a bigint, b bigint").distinct()
 
 
@@ -235,7 +263,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
             break
         last = i == STAR_ROUNDS or (i and size.pairs <= PAIRS_A_ROW * size.rows)
         if last:
-            pairs = cross_pairs(open_rows, sigs)
+            pairs = cross_pairs(open_rows, sigs, texts)
         else:
             star = open_rows.filter(F.col("comp") != F.col("centre_comp")).groupBy("rep", "centre").agg(F.count("*").alias("shared"))
             pairs = star.groupBy("rep").agg(F.max(F.struct("shared", (-F.col("centre")).alias("o"), "centre")).alias("s")).select(F.col("rep").alias("a"), F.col("s.centre").alias("b"))
