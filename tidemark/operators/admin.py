@@ -68,3 +68,23 @@ def latest_schema(links: DataFrame, schemas: DataFrame, topic: str = "topic") ->
     """Each topic's newest schema."""
     top = links.groupBy(topic).agg(F.max_by("schema_id", F.struct("created_at", "schema_id")).alias("schema_id"))
     return top.join(schemas, "schema_id")
+
+
+def upsert_acls(acls: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rules after changes: a rule for the same principal, resource and operation takes the new permission."""
+    key = ["principal", "resource_type", "resource_name", "operation"]
+    return acls.join(changes.select(*key), key, "left_anti").unionByName(changes.select(*key, "permission"))
+
+
+def list_acls(acls: DataFrame, principal: str | None = None, resource_type: str | None = None) -> DataFrame:
+    """Rules, narrowed by what is given."""
+    for column, value in (("principal", principal), ("resource_type", resource_type)):
+        if value is not None:
+            acls = acls.filter(F.col(column) == value)
+    return acls
+
+
+def revoke_keys(keys: DataFrame, revoked: DataFrame, now: Column) -> DataFrame:
+    """Keys after some key_ids were revoked; an earlier revocation stays as it is."""
+    hit = revoked.select("key_id").distinct().withColumn("_hit", F.lit(True))
+    return keys.join(hit, "key_id", "left").withColumn("revoked_at", F.coalesce("revoked_at", F.when(F.col("_hit"), now))).drop("_hit")

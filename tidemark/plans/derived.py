@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codec
+from ..client import Log
+from ..functions import codec, values
 from ..functions.avro import read_container, write_container
-from ..operators import append
+from ..operators import admin, append
 from ..schema import compat, evolve
 from ..schema.canonical import canonical
 from ..sources import avro_files, segments, tables
 from ..streaming import jobs
+from ..streaming.catchup import catch_up
 from . import fixture as fx
-from .queries import query
+from .queries import _ACLS, _CLAIMS, NOW, _claims, _values, query
 
 
 def scratch(spark, name: str) -> str:
@@ -233,3 +237,52 @@ def codec_selfcheck(spark, d):
     values = [(None, r.props.encode()) for r in fx.table(spark, d, "events").select("props").toLocalIterator()]
     payload, crc = codec.encode_segment(values)
     return spark.createDataFrame([(len(codec.decode_segment(payload, crc)),)], "records bigint")
+
+
+@query(_CLAIMS + f"""SELECT status, count(*) AS n FROM (SELECT batch_id, status FROM cl WHERE NOT (status = 'pending' AND claimed_at < TIMESTAMP '{NOW}' - INTERVAL 300 SECONDS)
+UNION ALL (SELECT bat.batch_id, 'completed' FROM bat ANTI JOIN (SELECT * FROM cl WHERE NOT (status = 'pending' AND claimed_at < TIMESTAMP '{NOW}' - INTERVAL 300 SECONDS)) c ON bat.batch_id = c.batch_id ORDER BY start_offset, bat.batch_id LIMIT 100)) GROUP BY 1""")
+def catch_up_round(spark, d):
+    t = tables.LogTable(spark, scratch(spark, "catchup"))
+    after = catch_up(fx.batches(spark, d), _claims(spark, d), t, lambda x: x.select("topic", "batch_id", "record_count"), fx.moment(NOW), 1)
+    return after.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'log/' || strftime(ts, '%Y-%m-%d') || '/' || (epoch_us(ts) // 1000) || '-' || lpad(lower(to_hex(user_id)), 16, '0') || '-' || event_id || '.fl' AS object_key FROM events")
+def object_keys(spark, d):
+    return fx.table(spark, d, "events").select(values.object_key("log", F.col("ts"), F.col("user_id"), F.col("event_id").cast("string")).alias("object_key"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def map_lookup(spark, d):
+    return fx.table(spark, d, "events").select("event_id", F.element_at(F.from_json("props", "map<string, bigint>"), "k").alias("k"))
+
+
+@query("SELECT DISTINCT topic FROM rec WHERE topic IN ('view', 'click', 'none') AND EXISTS (SELECT 1 FROM events e WHERE e.user_id = rec.writer_id AND e.value > 100)")
+def set_membership(spark, d):
+    r = fx.records(spark, d).filter(F.col("topic").isin("view", "click", "none"))
+    big = fx.table(spark, d, "events").filter("value > 100").select(F.col("user_id").alias("writer_id"))
+    return r.join(big, "writer_id", "left_semi").select("topic").distinct()
+
+
+@query(f"""WITH a(principal, resource_type, resource_name, operation, permission) AS (VALUES {_values(_ACLS)}),
+n(principal, resource_type, resource_name, operation, permission) AS (VALUES ('user:bob', 'topic', '2', 'write', 'allow'), ('user:eve', 'topic', '9', 'read', 'allow'))
+SELECT * FROM (SELECT a.* FROM a ANTI JOIN n USING (principal, resource_type, resource_name, operation) UNION ALL SELECT * FROM n) WHERE resource_type = 'topic' AND principal = 'user:bob'""")
+def acl_changes(spark, d):
+    schema = "principal string, resource_type string, resource_name string, operation string, permission string"
+    new = [("user:bob", "topic", "2", "write", "allow"), ("user:eve", "topic", "9", "read", "allow")]
+    after = admin.upsert_acls(spark.createDataFrame(_ACLS, schema), spark.createDataFrame(new, schema))
+    return admin.list_acls(after, "user:bob", "topic")
+
+
+@query("SELECT topic, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], topic) AS INTEGER) AS topic_id, count(*) AS records FROM log WHERE _offset >= 20 GROUP BY ALL")
+def client_append_read(spark, d):
+    """Each topic's events through the log client: appended (the first ones twice), then read from offset 20."""
+    log = Log(spark, scratch(spark, "client"))
+    e = fx.table(spark, d, "events")
+    for t in fx.TOPICS:
+        log.create_topic(t)
+        rows = e.filter(F.col("event_type") == t).select(F.col("event_type").cast("binary").alias("key"), F.col("props").cast("binary").alias("value"))
+        for _ in range(2):
+            log.append(t, 100, rows, f"writer-{t}", 1, 0, segment_bytes=2000)
+    read = [log.read(t, 20).groupBy("topic_id").agg(F.count("*").alias("records")).withColumn("topic", F.lit(t)) for t in fx.TOPICS]
+    return reduce(DataFrame.unionByName, read).select("topic", "topic_id", "records")
