@@ -4,8 +4,7 @@ A known word votes with its frequency in each language. An unseen word falls bac
 n-grams that were seen, five letters first, then four, three, two and one. Each vote is a log posterior over
 the languages; a document's votes are summed over all its words and normalised.
 
-The model is fitted on a bounded sample of labelled documents (`sample_rows`, the smallest hashes of the
-ids), so its tables have a fixed bound; every document is scored over its whole text.
+The model is fitted on a bounded sample of labelled documents (`sample_rows`, chosen by hashes of the ids), so its tables have a fixed bound; every document is scored over its whole text.
 
 A null text, or one without a letter, gives `und` with score 0. Rows without a label or id are only scored.
 Ties go to the alphabetically first language. With no labelled row at all every prediction is `und`.
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import held_out, map_slices
+from .text import bounded_sample, held_out, map_slices
 
 #: Labelled documents that the model is fitted on.
 SAMPLE_ROWS = 4000
@@ -140,14 +139,10 @@ class Model:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, parts: int = 3, remainder: int = 1) -> Model:
-    """Fits on the labelled documents that aren't held out: those `sample_rows` with the smallest id hashes."""
+    """Fits on about `sample_rows` of the labelled documents that aren't held out, chosen by hashes of their ids."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, remainder))
-    rows = labelled.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample_rows)
-    last = rows.agg(F.max("h")).first()[0]
-    if last is None:
-        return Model([], [{} for _ in range(LONGEST + 1)])
-    sample = labelled.filter(F.xxhash64("doc_id") <= last).orderBy("doc_id", "lang", "text").limit(sample_rows)
-    return Model.fit([(r.text, r.lang) for r in sample.select("text", "lang").collect()])
+    rows = bounded_sample(labelled, "doc_id", sample_rows).select("doc_id", "text", "lang").collect()
+    return Model.fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -5,7 +5,7 @@ two thirds of the labelled rows, one condition at a time by information gain; th
 from its end while that helps on the other third; rows that it covers are taken away and the next rule is
 grown. The list becomes one ordered CASE expression, which Spark evaluates without Python.
 
-It is fitted on a bounded sample of labelled rows (`sample_rows`, the smallest id hashes); statistics and
+It is fitted on a bounded sample of labelled rows (`sample_rows`, chosen by hashes of the ids); statistics and
 verdicts cover every row. Without usable labels the list is empty and only the base rules reject.
 
 Null and empty texts have no words, so the base rule rejects them. Repeated rows get a verdict each; other
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stats import document_stats
-from .text import held_out
+from .text import bounded_sample, held_out
 
 #: Labelled rows that the list is fitted on.
 SAMPLE_ROWS = 20_000
@@ -146,8 +146,8 @@ def measured(stats: DataFrame) -> DataFrame:
 def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """stats: rows of document_stats(); labels: (doc_id, quality). Held-out ids and base failures teach nothing."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    h = F.xxhash64("doc_id")
-    rows = measured(stats.filter(~base_failed())).join(known, "doc_id").select(h.alias("h"), "doc_id", "label", *MEASURES).orderBy("h", "doc_id", "label").limit(sample_rows).toPandas()
+    usable = measured(stats.filter(~base_failed())).join(known, "doc_id").select("doc_id", "label", *MEASURES)
+    rows = bounded_sample(usable, "doc_id", sample_rows).toPandas().sort_values(["doc_id", "label"]).sample(frac=1, random_state=0)
     return learn({m: rows[m].to_numpy() for m in MEASURES}, rows["label"].to_numpy() == 0)
 
 
