@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .text import bounded_sample, held_out, map_slices
 
 #: Labelled documents that the model is fitted on.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
 #: Words, and n-grams of each length, that the model keeps: the most frequent ones.
 TABLE_ROWS = 60_000
 LONGEST = 5
