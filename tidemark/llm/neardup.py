@@ -38,7 +38,7 @@ LOW, LOW_LEAST = 1024, 0.68
 STAR_ROUNDS = 4
 #: Star rounds end early when buckets that are still open have no more pairs than this for each of their rows.
 PAIRS_A_ROW = 24
-#: Members of a block, about.
+#: A bucket of n members has sqrt(n / BLOCK) blocks: rows grow with n ** 1.5, a block with n ** 0.5.
 BLOCK = 64
 
 _RNG = np.random.default_rng(77)
@@ -169,12 +169,17 @@ def may_link(x: np.ndarray, y: np.ndarray) -> bool:
 def _group_pairs(rep: np.ndarray, comp: np.ndarray, block: np.ndarray, sig: np.ndarray, low: list[np.ndarray]) -> list[tuple[int, int]]:
     """Of the members of one block, or of two, the pairs across components (and blocks) that may be links."""
     two = block.min() != block.max()
-    i, j = np.nonzero((comp[:, None] != comp[None]) & ((block[:, None] < block[None]) if two else (rep[:, None] < rep[None])))
-    ok = np.zeros(len(i), dtype=bool)
-    for s in range(0, len(i), 8192):
-        ok[s : s + 8192] = (sig[i[s : s + 8192]] == sig[j[s : s + 8192]]).sum(axis=1) >= SIGNATURE_LEAST * HASHES
-    pairs = [(x, y) for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True) if may_link(low[x], low[y])]
-    return [(min(int(rep[x]), int(rep[y])), max(int(rep[x]), int(rep[y]))) for x, y in pairs]
+    out: list[tuple[int, int]] = []
+    for at in range(0, len(rep), 128):
+        part = slice(at, at + 128)
+        other = block[part, None] < block[None] if two else rep[part, None] < rep[None]
+        i, j = np.nonzero((comp[part, None] != comp[None]) & other)
+        i += at
+        for s in range(0, len(i), 8192):
+            x, y = i[s : s + 8192], j[s : s + 8192]
+            ok = (sig[x] == sig[y]).sum(axis=1) >= SIGNATURE_LEAST * HASHES
+            out += [(int(rep[u]), int(rep[v])) for u, v in zip(x[ok].tolist(), y[ok].tolist(), strict=True) if may_link(low[u], low[v])]
+    return [(min(p), max(p)) for p in out]
 
 
 def _pairs_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,13 +227,13 @@ def _pairs_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def cross_pairs(open_rows: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs (a, b) of members of one bucket but different components that may be links.
 
-    open_rows: (bucket, rep, comp, n), n the bucket's members. A bucket is dealt out in blocks of about BLOCK
-    members, each two of which meet once. Signatures sort out most pairs there, and the smallest shingle hashes
+    open_rows: (bucket, rep, comp, n), n the bucket's members. A bucket is dealt out in blocks, each two of
+    which meet once. Signatures sort out most pairs there, and the smallest shingle hashes
     nearly all the others, so that little more than links ever leaves a task.
     """
     asked = open_rows.select("rep").distinct()
     known = sigs.join(asked, "rep", "left_semi").join(lows(texts.join(asked.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")), "rep")
-    dealt = open_rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
+    dealt = open_rows.withColumn("blocks", F.ceil(F.sqrt(F.col("n") / BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
     dealt = dealt.select("bucket", "rep", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "comp", "block").join(known, "rep")
     dealt = dealt.select("bucket", "bi", "bj", "rep", "comp", "block", "sig", "low").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
