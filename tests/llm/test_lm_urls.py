@@ -124,3 +124,26 @@ def test_pipeline(spark, tmp_path):
     assert seen["suffix_dedup"] - seen["decontamination"] == {101}
     out = corpus_pipeline.run(spark, str(d))
     assert {r.doc_id for r in out.collect()} == seen["bpe_encoding"] and out.filter("NOT round_trip").count() == 0
+
+
+def test_keys_grow_with_the_corpus(spark, scratch):
+    """Every context's counts are the corpus's own, across blocks, however many contexts there are."""
+    import random
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefghij ÉZ") for _ in range(3000)) for _ in range(40)]
+    whole = lm.with_ends(texts_of(pa.array(texts, pa.large_string())))
+    keys, pair = lm.key_counts(whole, True)
+    df = spark.createDataFrame([(i, x, False) for i, x in enumerate(texts)], "doc_id bigint, text string, held boolean").repartition(4)
+    got = scratch.write(lm.gather(df, 64), "g")
+    answers = lm.answered(got).collect()
+    assert len(answers) > 1
+    seen = {}
+    for r in answers:
+        for p in r["keys"]:
+            seen.update(zip(*(x.tolist() for x in lm._unpack(bytes(p["data"]))), strict=True))
+    assert seen == dict(zip(keys.tolist(), pair.tolist(), strict=True))
+    # a decision's counts are summed over no other context: in all as many as the texts have decisions
+    assert pair.sum() == lm.CONTEXTS * sum(b.size for _, _, b in lm.decisions(whole))
+    more = lm.key_counts(lm.with_ends(texts_of(pa.array(["".join(rnd.choice("klmnopqrst") for _ in range(30000))], pa.large_string()))), True)
+    assert len(lm.summed([(keys, pair), more])[0]) > len(keys) + 100_000
