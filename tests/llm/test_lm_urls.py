@@ -147,3 +147,17 @@ def test_keys_grow_with_the_corpus(spark, scratch):
     assert pair.sum() == lm.CONTEXTS * sum(b.size for _, _, b in lm.decisions(whole))
     more = lm.key_counts(lm.with_ends(texts_of(pa.array(["".join(rnd.choice("klmnopqrst") for _ in range(30000))], pa.large_string()))), True)
     assert len(lm.summed([(keys, pair), more])[0]) > len(keys) + 100_000
+
+
+def test_weights_come_from_all_training_documents(spark, scratch, monkeypatch):
+    """The slopes of the first round are those of every training document, not of a sample."""
+    import random
+
+    rnd = random.Random(4)
+    docs = [(i, prose(rnd, 12)) for i in range(400)]
+    seen = []
+    monkeypatch.setattr(lm, "fitted", lambda sums_at: (seen.append(sums_at(lm.first_weights())), lm.first_weights())[1])
+    lm.score_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), scratch).count()
+    t = lm.with_ends(texts_of(pa.array([x for i, x in docs if not held(i)], pa.large_string())))
+    want = lm.slopes(t, lm.Keyed(*lm.key_counts(t, True)), lm.first_weights())
+    assert np.allclose(seen[0], want, rtol=1e-6, atol=1e-6)
