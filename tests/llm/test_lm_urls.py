@@ -161,3 +161,24 @@ def test_weights_come_from_all_training_documents(spark, scratch, monkeypatch):
     t = lm.with_ends(texts_of(pa.array([x for i, x in docs if not held(i)], pa.large_string())))
     want = lm.slopes(t, lm.Keyed(*lm.key_counts(t, True)), lm.first_weights())
     assert np.allclose(seen[0], want, rtol=1e-6, atol=1e-6)
+
+
+def test_long_text_keeps_its_weights():
+    """A long text's weights go on adapting: at every byte they are what a plain loop over the whole text has."""
+    t = lm.with_ends(texts_of(pa.array(["the cat sat on the mat, É. " * 150, "short"], pa.large_string())))
+    model = lm.Keyed(*lm.key_counts(t, True))
+    short, long = lm.predictions(t, model)
+    cost, w, rare = 0.0, lm.first_weights().copy(), 0
+    for at in range(int(t.offsets[1])):
+        d = t.data[at]
+        jobs = [(short[:, at], lm._SHORT_BIT[d], 0)]
+        if lm._RARE[d]:
+            jobs.append((long[:, rare], lm._LONG_BIT[d], lm.SHORT))
+            rare += 1
+        for raw, bits, base in jobs:
+            g = lm._gates(raw[:, None])[0]
+            s, v = raw.astype(np.float32), w[:, g, base : base + raw.shape[1]]
+            err = bits - 1 / (1 + np.exp(-np.clip((v * s).sum(axis=0), -12, 12)))
+            cost -= np.log2(1 - np.abs(err)).sum()
+            v += s * err * lm.RATE
+    assert np.isclose(lm.score(t, model, lm.first_weights())[0], cost, rtol=1e-4)
