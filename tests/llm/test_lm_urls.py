@@ -182,3 +182,20 @@ def test_long_text_keeps_its_weights():
             cost -= np.log2(1 - np.abs(err)).sum()
             v += s * err * lm.RATE
     assert np.isclose(lm.score(t, model, lm.first_weights())[0], cost, rtol=1e-4)
+
+
+def test_url_entries_of_any_length_equal_sql(spark, monkeypatch, tmp_path):
+    """Entries of one label and of eight, and hosts longer and shorter than these."""
+    eight = "a.b.c.d.e.f.g.com"
+    entries = [("xyz", "tld", "add", "2024-01-01"), (eight, "deep", "add", "2024-01-01"), ("b.c.d.e.f.g.com", "seven", "add", "2024-01-01"), ("com", "allow", "add", "2024-01-01")]
+    hosts = ["site.xyz", "xyz", "www.a.xyz", "notxyz", eight, f"x.{eight}", f"z.y.x.{eight}", "q.b.c.d.e.f.g.com", "g.com", "x.org"]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id bigint, url string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(queries, "URL_ENTRIES", entries)
+    got = rows(queries.op10_url_filters(spark, str(tmp_path)).toPandas())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    values = queries.OP10_SQL[queries.OP10_SQL.index("days AS") :]
+    listed = ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in entries)
+    assert got == rows(con.execute(f"WITH entries(domain, list, action, date) AS (VALUES {listed}), {values}").df())
+    assert sum("tld" in r for r in got) == 3 and sum("deep" in r for r in got) == 3

@@ -21,9 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Domains of a host are its last 2 to 6 labels, and the host itself.
-MOST_LABELS = 6
-
 
 def host_of(url: Column) -> Column:
     """The lower-case host of an absolute URL, or null."""
@@ -33,12 +30,10 @@ def host_of(url: Column) -> Column:
 
 
 def domains_of(host: Column) -> Column:
-    """The host and its parent domains of two labels or more, longest first."""
+    """The host and all its parent domains, down to the last label, longest first."""
     parts = F.split(host, r"\.")
     n = F.size(parts)
-    cuts = F.when(n <= 2, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), n - 1))
-    kept = F.filter(cuts, lambda i: (i == 1) | (n - i + 1 <= MOST_LABELS))
-    return F.transform(kept, lambda i: F.array_join(F.slice(parts, i, n), "."))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
