@@ -7,6 +7,7 @@ loop. All of them accept nulls, which count as empty texts.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -188,6 +189,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self) -> None:
+        """Lets Spark remove the shuffle files of plans that nothing refers to any more, now and not some time later."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Removes tables that nothing reads any more, and lets Spark forget shuffles that are done."""
         jvm = self.spark._jvm
@@ -195,4 +201,4 @@ class Scratch:
         for name in names or ("",):
             p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
             p.getFileSystem(conf).delete(p, True)
-        jvm.System.gc()
+        self.forget()
