@@ -162,9 +162,10 @@ def test_long_text_keeps_its_weights():
             cost += a.sure[e]
             for r in range(a.at[e], a.at[e + 1]):
                 x = a.x[:, a.z[r]].astype(float)
-                z = np.clip(w[a.gate[r]] @ x, -30, 30)
+                g = a.gate[a.z[r]]
+                z = np.clip(w[g] @ x, -30, 30)
                 cost += np.log1p(np.exp(-z))
-                move[a.gate[r]] += float(lm.RATE) / (1 + np.exp(z)) * x
+                move[g] += float(lm.RATE) / (1 + np.exp(z)) * x
         w += move
     assert not np.allclose(w, lm.FIRST, atol=0.02)
     assert np.isclose(lm.score(c, a, np.zeros(2))[0], cost / math.log(2), rtol=1e-4)

@@ -91,7 +91,10 @@ class Texts:
         if self._sums is None:
             self._sums = self.prefix()
         _, down = powers(len(self.data) + 1)
-        return mix((self._sums[ends] - self._sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        x = self._sums.take(ends, mode="clip")
+        x -= self._sums.take(starts, mode="clip")
+        x *= down.take(starts, mode="clip")
+        return mix(x + (ends - starts).astype(np.uint64))
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, positions, side="right") - 1
