@@ -193,7 +193,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self) -> None:
-        """Lets Spark remove the shuffle files of plans that nothing refers to any more, now and not some time later."""
+        """Lets Spark remove the shuffle files of plans that nothing refers to any more, now and not some time later.
+
+        A session holds on to its last plan, so a small one takes that place first.
+        """
+        self.spark.range(1).collect()
         gc.collect()
         self.spark._jvm.System.gc()
 
