@@ -63,3 +63,14 @@ def test_a_crash_before_the_commit_shows_nothing(spark, tmp_path, monkeypatch):
             log.append("t", 100, records(spark, ["a"]), "w", 1, 0)
     assert log.high_watermark("t") == 0 and log.read("t").count() == 0
     assert log.append("t", 100, records(spark, ["a"]), "w", 1, 0).end_offset == 1
+
+
+def test_a_new_topic_has_nothing_of_a_deleted_one(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "log"))
+    log.create_topic("a")
+    log.append("a", 100, spark.createDataFrame([(None, bytearray(b"x")), (None, bytearray(b"y"))], "key binary, value binary"), "w", 1, 0)
+    log.join("g", "a", "r", 0.0)
+    log.delete_topic("a")
+    assert log.create_topic("b") == 2 and log.high_watermark("b") == 0
+    assert log.read("b").count() == 0
+    assert log.create_topic("a") == 3 and not log.state()["groups"]

@@ -21,7 +21,7 @@ def duck(data):
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or (isinstance(v, float) and pd.isna(v)) or v is pd.NaT:
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
@@ -40,8 +40,14 @@ def test_entry(spark, data):
     assert entry.entry(spark).count() > 0
 
 
+def test_no_query_is_empty(spark, data):
+    """Each invariant's fault is planted, so that a check that finds nothing shows."""
+    found = {name: queries.QUERIES[name](spark, data).count() for name in queries.SQL if name.startswith("invariant_")}
+    assert all(found.values()), found
+
+
 def test_folds(spark, data):
-    """Segment split and flush trigger, which SQL can't express, against plain loops."""
+    """Segment split and flush trigger against plain loops."""
     from tidemark.operators import append
     from tidemark.plans import fixture
 
@@ -55,6 +61,16 @@ def test_folds(spark, data):
                 chunk, held = chunk + 1, 0
             held += n
             assert c == chunk
+    e = fixture.records(spark, data).selectExpr("topic", "event_id", "bytes", "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 1000 AS ms")
+    got = append.assign_flushes(e, "topic", ["event_id"], "ms", "bytes", 200, 3_600_000).toPandas()
+    for _, g in got.groupby("topic"):
+        flush, held, first = 0, 0, None
+        for r in g.sort_values("event_id").itertuples():
+            if first is not None and (held >= 200 or r.ms - first >= 3_600_000):
+                flush, held, first = flush + 1, 0, None
+            first = r.ms if first is None else first
+            held += r.bytes
+            assert r.flush_id == flush
 
 
 def test_scan_keeps_budget_rule(spark, data):

@@ -4,15 +4,36 @@ from typing import Annotated, Optional
 import pytest
 from pyspark.sql import types as T
 
-from tidemark.plans.derived import COMPAT, V1, V2, _verdict
+from tidemark.plans.derived import _TYPES, V1, V2, _verdict
 from tidemark.schema import canonical, compat, evolve
 from tidemark.schema.declare import Float32, Int32, NonNull, schema
 from tidemark.schema.registry import Registry
 
 
-@pytest.mark.parametrize(("name", "new", "old", "want"), COMPAT)
-def test_compatibility(name, new, old, want):
-    assert _verdict(new, old) == want
+WRAPPED = {
+    "items": lambda t: {"type": "array", "items": t},
+    "values": lambda t: {"type": "map", "values": t},
+    "record": lambda t: {"type": "record", "name": "Inner", "fields": [{"name": "x", "type": t}]},
+    "deep": lambda t: {"type": "array", "items": {"type": "map", "values": t}},
+}
+
+
+@pytest.mark.parametrize("wrap", sorted(WRAPPED))
+def test_compatibility_inside_other_types(wrap):
+    """A type inside another is read like one alone: by itself, or widened."""
+    widened = {"int": {"long"}, "float": {"double"}}
+    for w in _TYPES:
+        for r in _TYPES:
+            new, old = (rec(field("k", "long"), field("a", WRAPPED[wrap](t))) for t in (r, w))
+            assert _verdict(new, old) == str(w == r or r in widened.get(w, ())).lower(), (w, r)
+
+
+def test_compatibility_of_enums():
+    sets = [["N"], ["N", "E"], ["N", "E", "S"], ["E", "W"]]
+    for w in sets:
+        for r in sets:
+            new, old = (rec(field("a", {"type": "enum", "name": "Wind", "symbols": x})) for x in (r, w))
+            assert _verdict(new, old) == str(set(w) <= set(r)).lower()
 
 
 def field(name, type_, **more):
@@ -103,7 +124,7 @@ def test_declared():
     assert types["name"] == ["null", "string"] and types["amount"] == "long" and types["small"] == ["null", "int"] and types["rate"] == ["null", "float"]
     assert avro["fields"][1]["default"] == 3 and avro["fields"][0]["aliases"] == ["title"]
     assert types["color"][1]["symbols"] == ["red", "blue"]
-    assert avro["flux.renames"] == {"title": "name"} and avro["flux.deletions"] == ["gone"]
+    assert avro["tidemark.renames"] == {"title": "name"} and avro["tidemark.deletions"] == ["gone"]
     evolve.table_type(avro)
     for bad in (dict[int, str], int | str, object):
         with pytest.raises(compat.SchemaError):

@@ -66,7 +66,7 @@ class Log:
         names = sorted(x.getPath().getName() for x in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
         names = [n for n in names if n.endswith(".json")]
         if not names:
-            return {"number": 0, "topics": {}, "writers": {}, "schemas": {}, "links": {}, "folders": [], "groups": {}}
+            return {"number": 0, "last_topic_id": 0, "topics": {}, "writers": {}, "schemas": {}, "links": {}, "folders": [], "groups": {}}
         stream = self._fs.open(self._path(f"{self.path}/_commits/{names[-1]}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -98,7 +98,9 @@ class Log:
         s = self.state()
         if name in s["topics"]:
             raise TopicExists(name)
-        number = 1 + max([t["topic_id"] for t in s["topics"].values()], default=0)
+        # never a number that a topic had before: its records are still in the index
+        number = 1 + max([s.get("last_topic_id", 0), *(t["topic_id"] for t in s["topics"].values())])
+        s["last_topic_id"] = number
         s["topics"][name] = {"topic_id": number, "retention_hours": retention_hours, "next_offset": 0}
         s["links"][name] = []
         self._commit(s)
@@ -106,9 +108,11 @@ class Log:
 
     def delete_topic(self, topic: str) -> None:
         s = self.state()
-        name, _ = self._topic(s, topic)
+        name, t = self._topic(s, topic)
         del s["topics"][name]
+        s["last_topic_id"] = max(s.get("last_topic_id", 0), t["topic_id"])
         s["links"].pop(name, None)
+        s["groups"] = {k: g for k, g in s["groups"].items() if k.rpartition("/")[2] != name}
         self._commit(s)
 
     def topics(self) -> list[str]:

@@ -20,7 +20,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql if sql.lstrip().startswith("WITH") else f"WITH {fx.SQL}{sql}"
+            SQL[f.__name__] = sql if sql.lstrip().startswith("WITH") else f"WITH RECURSIVE {fx.SQL}{sql}"
         return f
 
     return add
@@ -118,13 +118,22 @@ def backpressure_flags(spark, d):
     return out.select("topic", fx.as_text("flush_ts").alias("flush"), "pressed")
 
 
-@query()
+@query(""", o AS (SELECT *, row_number() OVER (PARTITION BY topic, flush_ts ORDER BY event_id) AS n FROM rec),
+cut AS (SELECT topic, flush_ts, n, bytes, bytes AS held, 0 AS chunk FROM o WHERE n = 1
+ UNION ALL SELECT o.topic, o.flush_ts, o.n, o.bytes, CASE WHEN c.held + o.bytes > 40 THEN o.bytes ELSE c.held + o.bytes END, CASE WHEN c.held + o.bytes > 40 THEN c.chunk + 1 ELSE c.chunk END
+ FROM cut c JOIN o ON o.topic = c.topic AND o.flush_ts = c.flush_ts AND o.n = c.n + 1)
+SELECT topic, strftime(flush_ts, '%Y-%m-%d %H:%M:%S') AS flush_ts, CAST(chunk AS BIGINT) AS chunk, count(*) AS records, CAST(sum(bytes) AS BIGINT) AS bytes FROM cut GROUP BY ALL""")
 def segment_split(spark, d):
     r = fx.records(spark, d).select("topic", "flush_ts", "event_id", "bytes")
     return append.split_segments(r, fx.KEY, ["event_id"], "bytes", 40).groupBy(*fx.KEY, "chunk").agg(F.count("*").alias("records"), F.sum("bytes").alias("bytes")).withColumn("flush_ts", fx.as_text("flush_ts"))
 
 
-@query()
+@query(""", o AS (SELECT topic, bytes, epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-01-01') AS ms, row_number() OVER (PARTITION BY topic ORDER BY event_id) AS n FROM rec),
+f AS (SELECT topic, n, bytes, bytes AS held, ms AS began, 0 AS flush_id FROM o WHERE n = 1
+ UNION ALL SELECT o.topic, o.n, o.bytes, CASE WHEN held >= 200 OR o.ms - began >= 3600000 THEN o.bytes ELSE held + o.bytes END,
+  CASE WHEN held >= 200 OR o.ms - began >= 3600000 THEN o.ms ELSE began END, CASE WHEN held >= 200 OR o.ms - began >= 3600000 THEN flush_id + 1 ELSE flush_id END
+ FROM f JOIN o ON o.topic = f.topic AND o.n = f.n + 1)
+SELECT topic, CAST(flush_id AS BIGINT) AS flush_id, count(*) AS records, CAST(sum(bytes) AS BIGINT) AS bytes FROM f GROUP BY ALL""")
 def flush_trigger(spark, d):
     r = fx.records(spark, d).select("topic", "event_id", "bytes", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 1000").alias("ms"))
     return append.assign_flushes(r, "topic", ["event_id"], "ms", "bytes", 200, 3_600_000).groupBy("topic", "flush_id").agg(F.count("*").alias("records"), F.sum("bytes").alias("bytes"))
@@ -165,9 +174,9 @@ def high_watermark(spark, d):
     return scan.high_watermark(topics, fx.index(spark, d))
 
 
-@query(", p AS (SELECT topic, _offset + 3 AS offset FROM log WHERE event_id % 10 = 0) SELECT p.topic, p.offset, s.start_offset, s.end_offset FROM p LEFT JOIN seg s ON p.topic = s.topic AND s.start_offset <= p.offset AND p.offset < s.end_offset")
+@query(", p AS (SELECT topic, _offset + 3 AS offset FROM log) SELECT p.topic, p.offset, s.start_offset, s.end_offset FROM p LEFT JOIN seg s ON p.topic = s.topic AND s.start_offset <= p.offset AND p.offset < s.end_offset")
 def segment_point_lookup(spark, d):
-    points = fx.log(spark, d).filter("event_id % 10 = 0").select("topic", (F.col("_offset") + 3).alias("offset"))
+    points = fx.log(spark, d).select("topic", (F.col("_offset") + 3).alias("offset"))
     return scan.segment_of(points, fx.index(spark, d))
 
 
@@ -206,9 +215,9 @@ def _cursors(spark, d):
     return fx.index(spark, d).groupBy("topic").agg(F.floor(F.max("end_offset") / 2).alias("cursor"))
 
 
-@query(_LEASES + "SELECT cur.topic, coalesce(min(start_offset), any_value(cursor)) AS watermark FROM cur LEFT JOIN (SELECT * FROM ls WHERE start_offset > 300) l ON cur.topic = l.topic GROUP BY 1")
+@query(_LEASES + "SELECT cur.topic, coalesce(min(start_offset), any_value(cursor)) AS watermark FROM cur LEFT JOIN ls l ON cur.topic = l.topic GROUP BY 1")
 def committed_watermark(spark, d):
-    return groups.committed_watermark(_cursors(spark, d), _leases(spark, d).filter("start_offset > 300"))
+    return groups.committed_watermark(_cursors(spark, d), _leases(spark, d))
 
 
 @query(_LEASES + "SELECT cur.topic, least(any_value(cursor), coalesce(min(start_offset), any_value(cursor))) AS cursor FROM cur LEFT JOIN (SELECT * FROM ls WHERE reader_id = 'r1') l ON cur.topic = l.topic GROUP BY 1")
@@ -227,10 +236,10 @@ def steal_expired_lease(spark, d):
     return groups.steal(_leases(spark, d), fx.moment(NOW))
 
 
-@query(_LEASES + ", m AS (SELECT DISTINCT topic, 'r' || (writer_id % 4) AS reader_id FROM rec) SELECT m.topic, m.reader_id, count(ls.topic) AS in_flight, count(ls.topic) < 10 AS may_poll FROM m LEFT JOIN (SELECT * FROM ls WHERE start_offset < 400) ls ON m.topic = ls.topic AND m.reader_id = ls.reader_id GROUP BY ALL")
+@query(_LEASES + ", m AS (SELECT DISTINCT topic, 'r' || (writer_id % 4) AS reader_id FROM rec) SELECT m.topic, m.reader_id, count(ls.topic) AS in_flight, count(ls.topic) < 10 AS may_poll FROM m LEFT JOIN ls ON m.topic = ls.topic AND m.reader_id = ls.reader_id GROUP BY ALL")
 def max_in_flight_readers(spark, d):
     m = fx.records(spark, d).select("topic", F.concat(F.lit("r"), F.col("writer_id") % 4).alias("reader_id")).distinct()
-    return groups.may_poll(m, _leases(spark, d).filter("start_offset < 400"))
+    return groups.may_poll(m, _leases(spark, d))
 
 
 @query(_LEASES + """SELECT topic, any_value(cursor) AS start_offset, max(end_offset) AS end_offset FROM (SELECT seg.*, cursor, row_number() OVER w AS n, coalesce(sum(byte_length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
@@ -244,11 +253,11 @@ def force_reset(spark, d):
     return groups.reset(_cursors(spark, d), groups.committed_watermark(_cursors(spark, d), _leases(spark, d)))
 
 
-@query(", g AS (SELECT DISTINCT topic FROM rec UNION ALL SELECT 'idle'), m AS (SELECT DISTINCT topic, writer_id FROM rec WHERE event_id % 50 = 0) SELECT g.topic, count(m.topic) AS members FROM g LEFT JOIN m USING (topic) GROUP BY 1")
+@query(", g AS (SELECT DISTINCT topic FROM rec UNION ALL SELECT 'idle'), m AS (SELECT DISTINCT topic, writer_id FROM rec) SELECT g.topic, count(m.topic) AS members FROM g LEFT JOIN m USING (topic) GROUP BY 1")
 def group_summary(spark, d):
     r = fx.records(spark, d)
     g = r.select("topic").distinct().unionByName(spark.createDataFrame([("idle",)], "topic string"))
-    return groups.summaries(g, r.filter("event_id % 50 = 0").select("topic", "writer_id").distinct())
+    return groups.summaries(g, r.select("topic", "writer_id").distinct())
 
 
 # --- materialisation ----------------------------------------------------------------------------------------
@@ -399,20 +408,20 @@ def retention_filter(spark, d):
 
 # --- invariants, on a history with planted faults -----------------------------------------------------------
 
-_HIST = """, wr AS (SELECT topic, writer_id, CASE WHEN event_id % 501 = 7 THEN _offset + 1 ELSE _offset END AS "offset", event_id AS value, event_id * 2 AS start_time, event_id * 2 + 1 AS end_time, true AS success FROM log),
-rd AS (SELECT topic, _offset // 40 AS seq, min(_offset) AS requested, list(CASE WHEN event_id % 333 = 5 THEN -event_id ELSE event_id END ORDER BY _offset) AS vals,
- CASE WHEN (_offset // 40) % 9 = 8 THEN 0 ELSE max(_offset) + 1 END AS hw FROM log WHERE _offset % 977 <> 40 GROUP BY topic, _offset // 40),
+_HIST = """, wr AS (SELECT topic, writer_id, CASE WHEN event_id % 501 = 7 THEN _offset + 1 WHEN event_id % 301 = 13 THEN greatest(_offset - 400, 0) ELSE _offset END AS "offset", event_id AS value, event_id * 2 AS start_time, event_id * 2 + 1 AS end_time, true AS success FROM log),
+rd AS (SELECT topic, _offset // 40 AS seq, min(_offset) AS requested, list(CASE WHEN event_id % 333 = 5 THEN -event_id WHEN _offset % 90 = 3 THEN 424242 ELSE event_id END ORDER BY _offset) AS vals,
+ CASE WHEN (_offset // 40) % 4 = 3 THEN 0 ELSE max(_offset) + 1 END AS hw FROM log WHERE _offset % 977 <> 40 GROUP BY topic, _offset // 40),
 ob AS (SELECT topic, seq, requested + unnest(range(len(vals))) AS "offset", unnest(vals) AS value FROM rd)
 """
 
 
 def _history(spark, d):
     log = fx.log(spark, d)
-    fault = F.when(F.col("event_id") % 501 == 7, F.col("_offset") + 1).otherwise(F.col("_offset"))
+    fault = F.when(F.col("event_id") % 501 == 7, F.col("_offset") + 1).when(F.col("event_id") % 301 == 13, F.greatest(F.col("_offset") - 400, F.lit(0))).otherwise(F.col("_offset"))
     writes = log.select("topic", "writer_id", fault.alias("offset"), F.col("event_id").alias("value"), (F.col("event_id") * 2).alias("start_time"), (F.col("event_id") * 2 + 1).alias("end_time"), F.lit(True).alias("success"))
-    value = F.when(F.col("event_id") % 333 == 5, -F.col("event_id")).otherwise(F.col("event_id"))
+    value = F.when(F.col("event_id") % 333 == 5, -F.col("event_id")).when(F.col("_offset") % 90 == 3, F.lit(424242)).otherwise(F.col("event_id"))
     r = log.filter("_offset % 977 <> 40").withColumn("seq", F.floor(F.col("_offset") / 40)).groupBy("topic", "seq").agg(F.min("_offset").alias("requested_offset"), F.max("_offset").alias("_top"), F.sort_array(F.collect_list(F.struct("_offset", value.alias("v")))).alias("_v"))
-    hw = F.when(F.col("seq") % 9 == 8, 0).otherwise(F.col("_top") + 1)
+    hw = F.when(F.col("seq") % 4 == 3, 0).otherwise(F.col("_top") + 1)
     return writes, r.select("topic", F.lit("r0").alias("reader_id"), "seq", "requested_offset", F.transform("_v", lambda x: x.v).alias("values"), hw.alias("high_watermark"))
 
 

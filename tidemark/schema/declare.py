@@ -71,7 +71,7 @@ def record(cls: type, open_: tuple[type, ...] = ()) -> dict:
             out["aliases"] = aliases
         fields.append(out)
     found: dict[str, Any] = {"type": "record", "name": cls.__name__, "fields": fields}
-    return found | ({"flux.renames": renames} if renames else {}) | ({"flux.deletions": deletions} if deletions else {})
+    return found | ({"tidemark.renames": renames} if renames else {}) | ({"tidemark.deletions": deletions} if deletions else {})
 
 
 def _unwrapped(hint: Any) -> tuple[Any, set]:

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from .compat import SchemaError, load, nullable
 
 #: Fixed: columns that every table of the log has, and their field ids.
+#: Of the properties in which a schema declares renames and deletions.
+PREFIX = "tidemark"
 METADATA = [("_offset", T.LongType(), False, 10000), ("_partition_id", T.IntegerType(), False, 10001), ("_ingest_time", T.TimestampType(), False, 10002), ("_key", T.BinaryType(), True, 10003)]
 _SIMPLE = {"null": T.NullType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
 _LOGICAL = {"uuid": T.StringType(), "date": T.DateType(), "big-decimal": T.StringType(), "duration": T.StructType([T.StructField(n, T.LongType()) for n in ("months", "days", "milliseconds")])}
@@ -87,15 +89,16 @@ class Step:
     default: Any = None
 
 
-def evolution(new: Any, old: Any) -> list[Step]:
+def evolution(new: Any, old: Any, prefix: str = PREFIX) -> list[Step]:
     """The steps from an old table to a new schema: renames and deletions it declares, then widenings and additions.
 
-    A field that is only missing, without being declared deleted, stays in the table.
+    A field that is only missing, without being declared deleted, stays in the table. `prefix` is that of the
+    schema's properties that declare renames and deletions.
     """
     n, o = load(new), load(old)
     have = {f["name"]: f for f in o["fields"]}
-    renames = {a: b for a, b in n.get("flux.renames", {}).items() if a in have}
-    deleted = [d for d in n.get("flux.deletions", []) if d in have]
+    renames = {a: b for a, b in n.get(f"{prefix}.renames", {}).items() if a in have}
+    deleted = [d for d in n.get(f"{prefix}.deletions", []) if d in have]
     steps = [Step("rename", a, b) for a, b in renames.items()] + [Step("delete", d) for d in deleted]
     now = {renames.get(name, name): f for name, f in have.items() if name not in deleted}
     for f in n["fields"]:
@@ -124,14 +127,14 @@ def apply(df: DataFrame, steps: list[Step]) -> DataFrame:
     return df
 
 
-def projection(reader: Any, writer: Any) -> list[Column]:
+def projection(reader: Any, writer: Any, prefix: str = PREFIX) -> list[Column]:
     """The reader's columns, made from the writer's: by name or alias, promoted, else default, else null.
 
     Aliases and renames are those of the reader, which is the schema that knows of the change.
     """
     r, w = load(reader), load(writer)
     have = {f["name"] for f in w["fields"]}
-    before = {b: a for a, b in r.get("flux.renames", {}).items()}
+    before = {b: a for a, b in r.get(f"{prefix}.renames", {}).items()}
     out = []
     for f in r["fields"]:
         t = column_type(f["type"])

@@ -79,23 +79,61 @@ def write_file(path: str, segments: list[tuple[int, int, int, list[codec.Record]
     fs.rename(part, p)
 
 
-def file_index(spark: SparkSession, path: str) -> DataFrame:
-    """The footers of segment files: one row a segment."""
-    prepared(spark)
+def encode_files(records: DataFrame) -> DataFrame:
+    """Segment files (path, content) of records (file, topic_id, schema_id, place, ingest_ms, key, value), made by
+    executors: in each file a segment for each topic and schema, its records by place. A file is bounded by what a
+    flush holds, as its writer's buffer is."""
+    prepared(records.sparkSession)
+
+    def encode(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("topic_id", "ascending"), ("schema_id", "ascending"), ("place", "ascending")])
+        cols = {c: rows.column(c).to_pylist() for c in ("topic_id", "schema_id", "ingest_ms", "key", "value")}
+        parts: dict[tuple, list] = {}
+        for topic, schema, at, k, v in zip(*cols.values(), strict=True):
+            parts.setdefault((topic, schema), [at, []])[1].append((k, v))
+        content = codec.encode_file([(t, s, at, data) for (t, s), (at, data) in parts.items()])
+        return pa.table([[key[0].as_py()], [content]], schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return records.groupBy("file").applyInArrow(encode, "path string, content binary")
+
+
+def index_of(files: DataFrame) -> DataFrame:
+    """The footers of files (path, content): one row a segment."""
+    prepared(files.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield _entries(name, codec.read_footer(content))
+
+    return files.select("path", "content").mapInArrow(read, INDEX)
+
+
+def _entries(name: str, rows: list[codec.Entry], *payloads: list[bytes]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in INDEX.split(", ")]
+    cols = [[name] * len(rows), *([getattr(e, k) for e in rows] for k in ("topic_id", "schema_id", "record_count", "byte_offset", "byte_length", "ingest_time", "crc32")), *payloads]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * len(payloads)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names + ["payload"] * len(payloads))
+
+
+def segments_of(files: DataFrame) -> DataFrame:
+    """The segments of files (path, content) with their compressed bytes, cut out where the file is: no file is shuffled."""
+    prepared(files.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = codec.read_footer(content)
-                cols = [[name] * len(rows), *([getattr(e, k) for e in rows] for k in ("topic_id", "schema_id", "record_count", "byte_offset", "byte_length", "ingest_time", "crc32"))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+                yield _entries(name, rows, [content[e.byte_offset : e.byte_offset + e.byte_length] for e in rows])
+
+    return files.select("path", "content").mapInArrow(read, INDEX + ", payload binary")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, INDEX)
+def file_index(spark: SparkSession, path: str) -> DataFrame:
+    """The footers of segment files: one row a segment."""
+    return index_of(spark.read.format("binaryFile").load(path))
 
 
 def file_segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments of files with their compressed bytes, as a raw read gives them."""
-    prepared(spark)
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("s3_key"), "content")
-    cut = F.expr("substring(content, cast(byte_offset AS int) + 1, cast(byte_length AS int))")
-    return file_index(spark, path).join(files, "s3_key").withColumn("payload", cut).drop("content")
+    return segments_of(spark.read.format("binaryFile").load(path))
