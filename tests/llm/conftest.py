@@ -5,7 +5,7 @@ import pytest
 from tidemark.llm.text import Scratch
 
 #: Columns that clash with names the operators use inside.
-CLASHING = "h bigint, n bigint, d bigint, score double, component_id bigint, spans string, kept boolean, bucket bigint, rep bigint, host string, label int"
+CLASHING = "h bigint, n bigint, d bigint, score double, component_id bigint, spans string, kept boolean, bucket bigint, rep bigint, host string, label int, _h string, _d string, _spans int, _id string, _own int, _host int, _best int, _salt int, _text string, text_ int"
 
 
 @pytest.fixture

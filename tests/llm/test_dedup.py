@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tidemark.llm import components, decontam, neardup, suffix
@@ -236,3 +237,23 @@ def test_leaks_of_odd_texts(odd, empty, spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1)  # one item a pass
     assert decontam.keep_clean(docs, bench).filter("doc_id in (90, 91)").count() == 0
     assert decontam.keep_clean(docs, bench).count() == docs.count() - 3
+
+
+def test_null_ids_whose_short_hashes_are_equal(spark):
+    """Two documents without an id whose 32-bit hashes collide stay two documents."""
+    rnd = random.Random(11)
+    texts = spark.range(500_000).selectExpr("concat('text of number ', id) AS t").selectExpr("t", "hash(t) AS h")
+    pair = texts.groupBy("h").agg(F.sort_array(F.collect_set("t")).alias("t")).filter("size(t) > 1").orderBy("h").first().t
+    long = prose(rnd, 60)
+    rows = [(None, pair[0]), (None, pair[1]), (None, long), (None, long + " more"), (7, long), (7, "other " + long)]
+    got = suffix.digests(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark, "t")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_clashing_columns_come_through(odd, spark):
+    names = [c for c in odd.columns if c not in ("doc_id", "text")]
+    df = odd.select("doc_id", "text", *[F.lit(7 if i % 2 else "x").alias(c) for i, c in enumerate(names)])
+    for out in (neardup.keep_one(df, Scratch(spark, "t")), suffix.remove_repeats(df, Scratch(spark, "t"))):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(r[c] == (7 if i % 2 else "x") for r in got for i, c in enumerate(names))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepared
 from .components import connected
-from .text import Scratch, Texts, map_slices, mix, texts_of
+from .text import Scratch, Texts, fresh, map_slices, mix, texts_of
 
 WORDS, HASHES, BANDS = 5, 128, 32
 ROWS = HASHES // BANDS
@@ -284,13 +284,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     else:
         out = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "h")
-    return out.unionByName(nulls)
+    return scratch.finish(out.unionByName(nulls))
 
 
 def own_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of docs that stand for the documents in members (doc_id, h): one for each doc_id."""
-    found = docs.withColumn("_h", F.xxhash64("text")).join(members.select("doc_id", F.col("h").alias("_h")), ["doc_id", "_h"])
-    return found.dropDuplicates(["doc_id"]).select(*docs.columns)
+    h, i, own = fresh(docs, "_h", "_id", "_own")
+    wanted = members.select(F.col("doc_id").alias(i), F.col("h").alias(h))
+    found = docs.withColumn(own, F.xxhash64("text")).join(wanted, (F.col("doc_id") == F.col(i)) & (F.col(own) == F.col(h)))
+    return found.dropDuplicates([i]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:

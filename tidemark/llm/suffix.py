@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepared
-from .text import Scratch, Texts, map_slices, texts_of
+from .text import Scratch, Texts, fresh, map_slices, texts_of
 
 WIDTH = 200
 GRAM = 40
@@ -110,7 +110,7 @@ def anchored(docs: DataFrame) -> DataFrame:
         cols = [pa.array(u["ah"].view(np.int64)), pa.array(u["uh"].view(np.int64)), b.column(0).take(doc), b.column(1).take(doc), *(pa.array(u[k].astype(np.int32)) for k in ("lo", "n", "c"))]
         return pa.RecordBatch.from_arrays(cols, ["ah", "uh", "d", "h", "lo", "n", "c"])
 
-    return map_slices(docs, run, "ah bigint, uh bigint, d bigint, h int, lo int, n int, c int")
+    return map_slices(docs, run, "ah bigint, uh bigint, d bigint, h bigint, lo int, n int, c int")
 
 
 class SuffixArray:
@@ -332,9 +332,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return runs.unionByName(full).groupBy("d", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with d and h, which tell documents apart even if ids are null or repeated."""
-    return docs.withColumn("_d", F.coalesce("doc_id", F.lit(-(2**63) + 1))).withColumn("_h", F.hash("text"))
+def keyed(docs: DataFrame, d: str, h: str) -> DataFrame:
+    """docs with columns d and h, 128 bits of the id and the text: rows of different texts never share both, and
+    rows that do are equal, so that their spans are too."""
+    return docs.withColumns({d: F.xxhash64(F.lit(1), "doc_id", "text"), h: F.xxhash64("text", "doc_id")})
 
 
 def _rest(text: str | None, spans: pa.Scalar) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -353,10 +354,12 @@ def _rest(text: str | None, spans: pa.Scalar) -> tuple[bytes, int, list[tuple[in
 
 def _with_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     prepared(docs.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    k = keyed(docs)
-    spans = scratch.write(repeated_spans(k.select(F.col("_d").alias("d"), F.col("_h").alias("h"), "text"), scratch), "spans")
+    d, h, s = fresh(docs, "_d", "_h", "_spans")
+    k = keyed(docs, d, h)
+    spans = scratch.write(repeated_spans(k.select(F.col(d).alias("d"), F.col(h).alias("h"), "text"), scratch), "spans")
     scratch.drop("again", "found")
-    return k.join(spans.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_spans")).hint("shuffle_hash"), ["_d", "_h"], "left").select(*docs.columns, "_spans")
+    found = spans.select(F.col("d").alias(d), F.col("h").alias(h), F.col("spans").alias(s)).hint("shuffle_hash")
+    return k.join(found, [d, h], "left").select(*[F.col(f"`{c}`") for c in docs.columns], s)
 
 
 def digests(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -368,7 +371,8 @@ def digests(docs: DataFrame, scratch: Scratch) -> DataFrame:
             cols = [b.column(0), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([n - len(r) for r, n, _ in rows], pa.int64()), pa.array([len(s) for _, _, s in rows], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r, _, _ in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs.select("doc_id", "text"), scratch).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = _with_spans(docs.select("doc_id", "text"), scratch).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return scratch.finish(out)
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -8,6 +8,7 @@ loop. All of them accept nulls, which count as empty texts.
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -174,24 +175,50 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key), F.lit(2**31)) < int(rows / n * 2**31)).limit(2 * rows)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables of one run, written to the folder that driver and executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in local tests, a folder
-    below the working directory's warehouse is used. A written table cuts lineage: when an executor is lost,
-    only tasks of the running stage are done again.
+    The folder is the session's spark.checkpoint.dir. Only in a local session where that is unset, as in tests,
+    a folder below the working directory's warehouse is used; a cluster without it is refused, as executors
+    would write to folders of their own. A written table cuts lineage: when an executor is lost, only tasks of
+    the running stage are done again.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        self.names: list[str] = []
         self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
+        self.names.append(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Writes a run's result and removes all its other tables."""
+        others = list(self.names)
+        out = self.write(df, "result")
+        del df
+        self.drop(*others)
+        return out
+
     def forget(self) -> None:
         """Lets Spark remove the shuffle files of plans that nothing refers to any more, now and not some time later.
 

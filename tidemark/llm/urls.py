@@ -6,8 +6,8 @@ is judged by the entries that were active when it was fetched, for its host and
 longest matching domain wins, then an `allow` list over others, then the list's name.
 
 The list side has one row per domain (all its intervals in an array), so a host with a third of all captures
-meets one row; that join is an equi-join that adaptive execution can split, and the list is broadcast only
-if Spark's own size check allows it.
+meets one row; captures of one host are dealt out by SALTS numbers, each of which has a copy of that row. The
+list is broadcast only if Spark's own size check allows it.
 
 Null or malformed URLs have a null host and are kept, as are captures without a fetch time; hosts are
 compared in lower case, without port, user and trailing dot. An empty list keeps everything. Entries with a
@@ -21,6 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import fresh
+
+
+#: Shares into which each host's captures are dealt.
+SALTS = 16
+
 
 def host_of(url: Column) -> Column:
     """The lower-case host of an absolute URL, or null."""
@@ -63,13 +69,16 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     Entries meet the distinct hosts first, so that captures take part in one equi-join on the host; the as-of
     choice is then made within the row, from the spans of that host.
     """
-    _h, _s, _b = "_urls_host", "_urls_spans", "_urls_best"
-    rows = captures.withColumn(_h, host_of(F.col(url)))
-    spans = host_spans(rows.select(F.col(_h).alias("host")), entries).select(F.col("host").alias(_h), F.col("spans").alias(_s))
+    _h, _s, _b, _n = fresh(captures, "_host", "_spans", "_best", "_salt")
+    rows = captures.withColumn(_h, host_of(F.col(url))).withColumn(_n, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    spans = host_spans(rows.select(F.col(_h).alias("host")), entries)
+    spans = spans.select(F.col("host").alias(_h), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(_n), F.col("spans").alias(_s))
     day = F.col(fetched).cast("date")
     active = F.filter(_s, lambda s: (s.valid_from <= day) & (s.valid_to.isNull() | (day < s.valid_to)))
     ranked = F.transform(active, lambda s: F.struct(s["rank"].alias("rank"), (s["list"] != "allow").alias("other"), s["list"].alias("list"), s["domain"].alias("domain")))
-    out = rows.join(spans, _h, "left").withColumn(_b, F.array_min(ranked))
+    # captures without a host have nothing to be joined with, and would all meet on one key
+    joined = rows.filter(F.col(_h).isNotNull()).join(spans, [_h, _n], "left")
+    out = joined.unionByName(rows.filter(F.col(_h).isNull()), allowMissingColumns=True).withColumn(_b, F.array_min(ranked))
     listed = F.col(_b)["list"]
     made = {"host": F.col(_h), "matched_domain": F.col(_b)["domain"], "matched_list": listed, "blocked": F.coalesce(listed != "allow", F.lit(False))}
     return out.select(*[F.col(f"`{c}`") for c in captures.columns if c not in made], *[v.alias(k) for k, v in made.items()])
