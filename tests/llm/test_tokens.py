@@ -36,6 +36,44 @@ def test_every_prefix(word):
         assert [p.count(i) for i in range(len(t) + 1)] == [len(lib.encode(t[:i], add_special_tokens=False)) for i in range(len(t) + 1)]
 
 
+@pytest.mark.parametrize("text", ["wow!<|endoftext|>!", "a<|endoftext|><|startoftext|>b", "x's!'re'llama 'vex", "e\u0301e\u0301\u0323 na\u0308ive \u1100\u1161\u11a8", "\u0939\u093f\u0928\u094d\u0926\u0940\u0e2a\u0e27\u0e31"])
+def test_every_prefix_of_odd_words(word, text):
+    c, lib = tokens.PieceCounter(str(word)), Tokenizer.from_file(str(word))
+    p = tokens.PrefixCounts(c, text)
+    assert [p.count(i) for i in range(len(text) + 1)] == [len(lib.encode(text[:i], add_special_tokens=False)) for i in range(len(text) + 1)]
+
+
+def test_long_words_take_linear_time(word):
+    """100,000 characters without white space, of letters and digits, and in a script without spaces."""
+    import time
+
+    c, lib = tokens.PieceCounter(str(word)), Tokenizer.from_file(str(word))
+    for text in ("abcXYZ19" * 12_500, "\u4e2d\u6587\u5b57\u4e00" * 25_000):
+        began = time.process_time()
+        p = tokens.PrefixCounts(c, text)
+        cut = p.cut(5000)
+        assert time.process_time() - began < 20
+        assert p.count(len(text)) == len(lib.encode(text, add_special_tokens=False))
+        assert len(lib.encode(text[:cut], add_special_tokens=False)) <= 5000
+
+
+def test_truncated_texts(spark, odd, odd_rows, word):
+    lib = Tokenizer.from_file(str(word))
+    got = tokens.truncate_texts(odd, str(word), 12).collect()
+    assert len(got) == len(odd_rows)
+    for r in got:
+        assert len(lib.encode(r.text, add_special_tokens=False)) <= 12
+
+
+def test_op5_over_the_smallest_table(spark, data):
+    from tidemark.llm import queries
+
+    lib = Tokenizer.from_file(str(P.path("word_bpe_49k.json")))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = queries.op5_token_counts(spark, data).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == {i: (len(t.encode()), len(lib.encode(t, add_special_tokens=False))) for i, t in docs.items()}
+
+
 def test_cut_fits_the_budget(word):
     c = tokens.PieceCounter(str(word))
     text = "some words, don't you think? " * 5
