@@ -12,7 +12,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.conftest import prose
 from tests.test_queries import rows
-from tidemark.llm import lm, queries, urls
+from tidemark.llm import exchange, lm, queries, urls
 from tidemark.llm.text import Scratch, texts_of
 
 
@@ -67,8 +67,8 @@ class Memory:
     def answers(self, i):
         sure, many, z = self.units.mixed(self.weights)
         at = np.concatenate([[0], np.cumsum(many)])
-        e = lm._unpack(dict(self.back)[i])[0].astype(np.int64)
-        return lm.Answers(sure[e], many[e], z[lm.ragged(at[e], many[e])[0]])
+        e = exchange.unpack(dict(self.back)[i])[0].astype(np.int64)
+        return lm.Answers(sure[e], many[e], z[exchange.ragged(at[e], many[e])[0]])
 
     def bits(self, i):
         return lm.score(self.cuts[i], self.answers(i), np.zeros(self.texts[i].n))

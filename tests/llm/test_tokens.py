@@ -9,6 +9,7 @@ P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from tidemark.llm import bpe, tokens  # noqa: E402
+from tidemark.llm.text import Scratch  # noqa: E402
 
 TEXTS = ["", "a<|endoftext|>b <|startoftext|>'s", "ΑΣ Σίσυφος İstanbul é ​ x　y 中文 ①½ x²  \n\n  y\x1cz\x85q", "it's we'll 'RE  'Ll ... ''s", "ȩ́́ ﬁ Å ퟿ \U0001f600 ٠٣  a b", " lead and trail  ", "\0\0 nul\0s"]
 
@@ -115,15 +116,48 @@ def test_small_tables_change_nothing(byte, monkeypatch):
     assert small.encode(TEXTS)[0].tolist() == want and small.encode(TEXTS)[0].tolist() == want
 
 
-def test_digests_and_round_trip(odd, empty, odd_rows, byte):
+def test_words_are_encoded_once(byte, monkeypatch):
+    """Two blocks that ask for the same words: each is encoded once, and both get its ids."""
+    import pyarrow as pa
+
+    from tidemark.llm.exchange import unpack
+    from tidemark.llm.text import texts_of
+
+    t = bpe.WordTable(str(byte))
+    seen, real = [], t.ids_of
+    monkeypatch.setattr(t, "ids_of", lambda kind, word: (seen.append((kind, word)), real(kind, word))[1])
+    cut = [bpe.Split(texts_of(pa.array(x, pa.large_string())), t) for x in (TEXTS, TEXTS[::-1] + ["more words"])]
+    asked = [(i, d) for i, c in enumerate(cut) for _, d in c.questions(1)]
+    got = dict(bpe.answers(asked, t))
+    assert len(seen) == len(set(seen))
+    want = [t.encode(TEXTS), t.encode(TEXTS[::-1] + ["more words"])]
+    for i, c in enumerate(cut):
+        size, low, high = (x.astype(np.int64) for x in unpack(got[i]))
+        ids, at = c.placed(low + (high << 8), size)
+        assert ids.tolist() == want[i][0].tolist() and at.tolist() == want[i][1].tolist()
+
+
+def test_op8_over_the_smallest_table(spark, data):
+    from tidemark.llm import queries
+
+    lib = Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))
+    got = {r.doc_id: r for r in queries.op8_bpe(spark, data).collect()}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        back = lib.decode(ids, skip_special_tokens=False)
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256, got[r.doc_id].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
+def test_digests_and_round_trip(odd, empty, odd_rows, byte, spark):
     lib = Tokenizer.from_file(str(byte))
     want = []
     for i, t, _, _ in odd_rows:
         ids = lib.encode(t or "", add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    got = bpe.encode_digests(odd, str(byte))
+    got = bpe.encode_digests(odd, str(byte), Scratch(spark, "t"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
-    assert bpe.encode_ids(odd, str(byte)).filter("NOT round_trip").count() == 0
-    back = bpe.decode_ids(bpe.encode_ids(odd, str(byte)), str(byte)).filter("doc_id = 6").first().text
+    both = bpe.encode_ids(odd, str(byte), Scratch(spark, "t"))
+    assert both.filter("NOT round_trip").count() == 0
+    back = bpe.decode_ids(both, str(byte)).filter("doc_id = 6").first().text
     assert back == odd_rows[8][1]
-    assert bpe.encode_digests(empty, str(byte)).count() == 0
+    assert bpe.encode_digests(empty, str(byte), Scratch(spark, "t")).count() == 0

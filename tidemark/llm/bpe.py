@@ -1,14 +1,19 @@
-"""BPE encoding and decoding through a table of distinct words.
-
-Tasks split each text into the words of the byte-level pre-tokenizer, keep the distinct ones of a slice,
-encode each distinct word once, and join the ids back by word position. Decoding is a join of ids with the
-id-to-piece table, which is as large as the vocabulary (some 50,000 pieces) whatever the input.
-
-The word table is a worker's own and bounded, because a corpus-wide one would have to be joined with one
-row per word occurrence: several times the input in shuffle.
-
-Nulls are empty texts (no ids). Repeated rows are encoded each; other columns are ignored. The special
-string of the vocabulary file inside a text is one id, which is the library's default.
+"""BPE encoding and decoding through one table of the corpus's distinct words.
+
+1. Split. Each text is cut into words: white space and what follows it up to the next, which no piece of the
+   byte-level pre-tokenizer crosses. Blocks of texts are written as numbers of their distinct words.
+2. Encode. Blocks send their distinct words out by range of hash. A range knows each distinct word of the corpus
+   once, encodes it once, and sends each block its words' ids.
+3. Join back. A block puts the ids of its words at the words' positions.
+4. Decode. Ids are joined with the id-to-piece table, which is as large as the vocabulary (some 50,000 pieces)
+   whatever the input, and the pieces' bytes put together.
+
+No row is shuffled for a word's occurrence: a block asks for each distinct word once, in one packed row for each
+range. A word that makes up a third of all text is one entry in each block.
+
+Nulls are empty texts (no ids). Repeated rows are encoded each; other columns are ignored; an empty table gives an
+empty result. The special string of the vocabulary file inside a text is one id, which is the library's default.
+Texts of any length are encoded whole; a block holds one text at least, and takes some 20 times its bytes of memory.
 """
 
 from __future__ import annotations
@@ -16,23 +21,37 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .text import BYTE_CHARS, byte_level, map_slices
+from ..session import prepared
+from .exchange import ASKED, batch_of, blocks, by_range, numbered, pack, ragged, ranges_for, unpack
+from .text import BATCH_ROWS, BYTE_CHARS, IS_WORD, Scratch, Texts, byte_level, mix, texts_of
 
-#: Distinct chunks (and as many words) that a worker keeps encoded; beyond that it starts a new table.
+#: Distinct pieces that a worker keeps encoded; beyond that it starts a new table.
 TABLE_LIMIT = 400_000
 #: Fixed: the byte-level pre-tokenizer's pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What a word is: some pieces of the pattern; one piece that the library cut; a special token.
+PLAIN, PIECE, SPECIAL = 0, 1, 2
+_KIND = np.random.default_rng(17).integers(1, 2**63, 3, dtype=np.uint64)
+
+#: Bytes that are in no text of which the library's tables of letters, digits and spaces and those here surely agree:
+#: NUL and separators, and the first bytes of characters from U+2000 on.
+_ODD = np.zeros(256, dtype=bool)
+_ODD[[0, 28, 29, 30, 31, *range(0xE2, 0x100)]] = True
 
 
 class WordTable:
+    """Encoding of words and decoding of ids for one tokenizer file of the byte-level kind."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -43,21 +62,16 @@ class WordTable:
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.words_re = regex.compile(WORDS)
-        #: White space and what follows it up to the next. No word of the pattern crosses such a border.
+        #: White space and what follows it up to the next. No piece of the pattern crosses such a border.
         self.chunks_re = re.compile(r"\s*\S+|\s+")
-        #: The library's tables of letters, digits and spaces and those here surely agree below U+2000.
         self.plain = regex.compile("[\x01-\x1b\x20-\u1fff]*")
+        #: How special tokens begin.
+        self.heads = {s.encode()[:2] for s in self.special}
         self.pieces = pa.array(self._pieces(), pa.large_binary())
         lengths = np.diff(np.frombuffer(self.pieces.buffers()[1], dtype=np.int64))
         self.piece_len, self.piece_at = lengths, np.concatenate([[0], np.cumsum(lengths)])
         self.piece_bytes = np.frombuffer(self.pieces.buffers()[2], dtype=np.uint8)
-        self.clear()
-
-    def clear(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.flat, self.start, self.size = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
-        self.used = 0
+        self.known: dict[str, list[int]] = {}
 
     def _pieces(self) -> list[bytes]:
         """The bytes of each id: byte-level characters stand for one byte each."""
@@ -65,84 +79,120 @@ class WordTable:
         n = self.tok.get_vocab_size(with_added_tokens=True)
         return [s.encode() if (s := self.tok.id_to_token(i)) in self.special else bytes(byte_of[c] for c in s) for i in range(n)]
 
-    def split(self, text: str) -> list[str]:
-        if self.special and any(s in text for s in self.special):
-            out, at = [], 0
-            for m in self.special_re.finditer(text):
-                out += self.split_plain(text[at : m.start()])
-                out.append("\0\0" + m.group())
-                at = m.end()
-            return out + self.split_plain(text[at:])
-        return self.split_plain(text)
-
-    def split_plain(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[tuple[int, str]]:
+        """The words of a text, with what they are."""
+        out, at = [], 0
+        for m in self.special_re.finditer(text) if self.special else ():
+            out += self._split_plain(text[at : m.start()])
+            out.append((SPECIAL, m.group()))
+            at = m.end()
+        return out + self._split_plain(text[at:])
+
+    def _split_plain(self, text: str) -> list[tuple[int, str]]:
         if self.plain.fullmatch(text):
-            return self.chunks_re.findall(text)
-        # rare characters: the library's own words, marked as such
-        return ["\0\1" + w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
-
-    def ids_of(self, chunk: str) -> list[int]:
-        if chunk[:2] == "\0\0" and chunk[2:] in self.special:
-            return [self.special[chunk[2:]]]
-        if chunk[:2] == "\0\1" and len(chunk) > 2:
-            return [t.id for t in self.model.tokenize(chunk[2:])]
+            return [(PLAIN, c) for c in self.chunks_re.findall(text)]
+        # rare characters: the library's own pieces
+        return [(PIECE, w) for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+
+    def ids_of(self, kind: int, word: str) -> list[int]:
+        if kind == SPECIAL:
+            return [self.special[word]]
+        if kind == PIECE:
+            return [t.id for t in self.model.tokenize(word)]
         out: list[int] = []
-        for w in self.words_re.findall(chunk):
-            ids = self.words.get(w)
+        for w in self.words_re.findall(word):
+            ids = self.known.get(w)
             if ids is None:
-                ids = self.words[w] = [t.id for t in self.model.tokenize(byte_level(w))]
+                if len(self.known) > TABLE_LIMIT:
+                    self.known.clear()
+                ids = self.known[w] = [t.id for t in self.model.tokenize(byte_level(w))]
             out += ids
         return out
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes each distinct chunk once and appends its ids to the table."""
-        if len(self.chunks) + len(chunks) > TABLE_LIMIT or len(self.words) > TABLE_LIMIT:
-            self.clear()
-        new = [self.ids_of(c) for c in chunks]
-        size = np.array([len(x) for x in new], dtype=np.int64)
-        flat = np.fromiter(chain.from_iterable(new), dtype=np.uint32, count=int(size.sum()))
-        n, used = len(self.chunks), self.used
-        if used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:used], np.empty(max(len(self.flat), len(flat)), np.uint32)])
-        if n + len(new) > len(self.start):
-            grow = np.empty(max(len(self.start), len(new)), np.int64)
-            self.start, self.size = np.concatenate([self.start[:n], grow]), np.concatenate([self.size[:n], grow])
-        self.flat[used : used + len(flat)] = flat
-        self.start[n : n + len(new)] = used + np.concatenate([[0], np.cumsum(size)])[:-1] if len(size) else 0
-        self.size[n : n + len(new)] = size
-        self.used = used + len(flat)
-        self.chunks.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+    def encode_words(self, words: Texts, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some distinct words, and how many each has."""
+        raw, at = words.data.tobytes(), words.offsets.tolist()
+        each = [self.ids_of(k, raw[s:e].decode()) for k, s, e in zip(kind.tolist(), at[:-1], at[1:], strict=True)]
+        size = np.array([len(x) for x in each], dtype=np.int64)
+        return np.fromiter((i for x in each for i in x), dtype=np.int64, count=int(size.sum())), size
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text's ids start (n + 1 values)."""
-        cut = [self.split(t) for t in texts]
-        flat = list(chain.from_iterable(cut))
-        at = list(map(self.chunks.get, flat))
-        if None in at:
-            self.learn(list({c for c, i in zip(flat, at, strict=True) if i is None}))
-            at = list(map(self.chunks.get, flat))
-            if None in at:  # the table was started anew
-                self.learn([c for c in set(flat) if c not in self.chunks])
-                at = list(map(self.chunks.__getitem__, flat))
-        rows = np.array(at, dtype=np.int64)
-        ids, ends = gather(self.flat, self.start[rows], self.size[rows])
-        words = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)]).astype(np.int64)
-        return ids, ends[words]
+        """All ids of a few texts in memory, and where each text's ids start (n + 1 values)."""
+        c = Split(texts_of(pa.array(texts, pa.large_string())), self)
+        return c.placed(*self.encode_words(c.words, c.kind))
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Each text's bytes: ids joined with their pieces. Invalid UTF-8 becomes U+FFFD, as in the library."""
-        data, ends = gather(self.piece_bytes, self.piece_at[:-1][ids], self.piece_len[ids])
-        cut = ends[at]
-        raw = data.tobytes()
-        out = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return [x.decode("utf-8", "replace").encode() for x in out]
-
-
-def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[start:start + size] of every row, one after another, and where each row's begin (n + 1)."""
-    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    where = np.arange(ends[-1], dtype=np.int64) + np.repeat(start - ends[:-1], size)
-    return values[where], ends
+        where, ends = ragged(self.piece_at[ids], self.piece_len[ids])
+        raw, cut = self.piece_bytes.take(where, mode="clip").tobytes(), ends[at].tolist()
+        return [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+class Split:
+    """Texts as numbers of their distinct words.
+
+    before: words before each text (n + 1 values); number: of each word in its place; words and kind: the
+    distinct ones; h: their hashes, by which they are sorted.
+    """
+
+    def __init__(self, t: Texts, table: WordTable):
+        n = len(t.data)
+        space = ~IS_WORD[t.data]
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        start[t.offsets[:-1][np.diff(t.offsets) > 0]] = True
+        odd = _ODD[t.data]
+        # white space that is not ASCII, and what may begin a special token
+        for pair in [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", *table.heads]:
+            odd[:-1] |= (t.data[:-1] == pair[0]) & (t.data[1:] == pair[1])
+        slow = np.unique(t.doc_of(np.flatnonzero(odd)))
+        raw = t.data
+        starts = np.flatnonzero(start)
+        ends = np.concatenate([starts[1:], [n]]) if len(starts) else starts
+        kind = np.zeros(len(starts), dtype=np.int64)
+        doc = t.doc_of(starts)
+        if len(slow):  # their words come from Python, and may be shorter or longer than what they stand for
+            keep = ~np.isin(doc, slow)
+            extra, parts, at = [], [], n
+            for d in slow.tolist():
+                for k, w in table.split(t.data[t.offsets[d] : t.offsets[d + 1]].tobytes().decode()):
+                    b = w.encode()
+                    extra.append((d, at, at + len(b), k))
+                    parts.append(b)
+                    at += len(b)
+            more = np.array(extra, dtype=np.int64).reshape(-1, 4)
+            raw = np.concatenate([raw, np.frombuffer(b"".join(parts), np.uint8)])
+            doc, starts, ends, kind = (np.concatenate([x[keep], y]) for x, y in zip((doc, starts, ends, kind), more.T, strict=True))
+            order = np.argsort(doc, kind="stable")
+            doc, starts, ends, kind = doc[order], starts[order], ends[order], kind[order]
+        self.before = np.searchsorted(doc, np.arange(t.n + 1))
+        h, first, number = numbered(mix(Texts(raw, np.array([0, len(raw)])).span_hash(starts, ends) ^ _KIND[kind]))
+        order = np.argsort(h)
+        rank = np.empty(len(h), dtype=np.int64)
+        rank[order] = np.arange(len(h))
+        self.h, self.number, first = h[order], rank[number], first[order]
+        size = (ends - starts)[first]
+        at, off = ragged(starts[first], size)
+        self.words, self.kind = Texts(raw[at], off), kind[first]
+
+    def questions(self, ranges: int) -> Iterator[tuple[int, bytes]]:
+        """The distinct words for each range of hashes."""
+        cut = np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - (ranges.bit_length() - 1))
+        at = [0, *np.searchsorted(self.h, cut).tolist(), len(self.h)]
+        off = self.words.offsets
+        for j, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            if s < e:
+                yield j, pack(np.diff(off[s : e + 1]), self.words.data[off[s] : off[e]], self.kind[s:e])
+
+    def placed(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the distinct words, of which each has `size`, at all the words' places; where each text's begin."""
+        return _placed(self.number, self.before, ids, size)
+
+
+def _placed(number: np.ndarray, before: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    many = size[number]
+    where, ends = ragged((np.cumsum(size) - size)[number], many)
+    return ids.take(where, mode="clip"), ends[before]
 
 
 @lru_cache(maxsize=2)
@@ -151,31 +201,82 @@ def table(path: str) -> WordTable:
     return WordTable(path)
 
 
-def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids array<int> and the text decoded from them, of every row of docs (doc_id, text)."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        t = table(tokenizer)
-        ids, at = t.encode(["" if x is None else x for x in b.column(1).to_pylist()])
-        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-        text = pa.array([x.decode() for x in t.decode(ids, at)], pa.string())
-        return pa.RecordBatch.from_arrays([b.column(0), lists, text], ["doc_id", "ids", "decoded"])
+def answers(asked: list[tuple[int, bytes]], t: WordTable) -> Iterator[tuple[int, bytes]]:
+    """The ids of each block's words. A word is encoded once, however many blocks ask for it."""
+    parts = [unpack(d) for _, d in asked]
+    size = np.concatenate([p[0].astype(np.int64) for p in parts])
+    every = Texts(np.concatenate([p[1].astype(np.uint8) for p in parts]), np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+    kind = np.concatenate([p[2].astype(np.int64) for p in parts])
+    _, first, number = numbered(mix(every.span_hash(every.offsets[:-1], every.offsets[1:]) ^ _KIND[kind]))
+    at, off = ragged(every.offsets[:-1][first], size[first])
+    ids, many = t.encode_words(Texts(every.data[at], off), kind[first])
+    begin = np.cumsum(many) - many
+    cut = np.cumsum([0, *(len(p[0]) for p in parts)])
+    for (who, _), s, e in zip(asked, cut[:-1], cut[1:], strict=True):
+        own = number[s:e]
+        found = ids[ragged(begin[own], many[own])[0]]
+        yield who, pack(many[own], (found & 255).astype(np.uint8), found >> 8)
+
+
+def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, schema: str) -> DataFrame:
+    """What `made` makes of the rows of docs (doc_id, text), block by block: of the tokenizer's table, ids of
+    documents, bytes of texts, their hashes, all ids, and where each text's ids begin."""
+    spark = prepared(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        for n, b in enumerate(blocks(batches), 1):
+            t = texts_of(b.column(1))
+            c = Split(t, table(tokenizer))
+            h = t.span_hash(t.offsets[:-1], t.offsets[1:])
+            doc_ids = b.column(0)
+            cols = [pa.array([task + n]), pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([pack(np.diff(c.before), c.number, np.diff(t.offsets), h)], pa.binary()), pa.array([pack(c.h, np.diff(c.words.offsets), c.words.data, c.kind)], pa.binary()), pa.array([len(t.data)])]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "ids", "places", "words", "bytes"])
+
+    written = scratch.write(docs.select("doc_id", "text").mapInArrow(split, "block bigint, ids array<bigint>, places binary, words binary, bytes bigint"), "split")
+    ranges = ranges_for(written.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c = Split.__new__(Split)
+                c.h, size, raw, kind = unpack(data)
+                c.h, c.kind = c.h.astype(np.uint64), kind.astype(np.int64)
+                c.words = Texts(raw.astype(np.uint8), np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+                for j, question in c.questions(ranges):
+                    yield batch_of(ASKED, [block], [j], [question])
+
+    def answer(idx: int, asked: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for who, data in answers(asked, table(tokenizer)):
+            yield batch_of(ASKED, [who], [idx], [data])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                many, number, size, h = unpack(b.column("places")[i].as_py())
+                before = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+                pieces = [unpack(p["data"]) for p in sorted(b.column("found")[i].as_py() or [], key=lambda p: p["idx"])]
+                word_size, low, high = (np.concatenate([p[k] for p in pieces]).astype(np.int64) if pieces else np.empty(0, np.int64) for k in range(3))
+                ids, at = _placed(number.astype(np.int64), before, low + (high << 8), word_size)
+                yield made(table(tokenizer), pa.array(b.column("ids")[i].as_py(), pa.int64()), size.astype(np.int64), h.astype(np.uint64), ids, at)
 
-    return map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, decoded string", limit=1 << 20)
+    found = by_range(written.select("block", "words").mapInArrow(ask, ASKED), answer, ASKED)
+    found = found.groupBy(F.col("who").alias("block")).agg(F.collect_list(F.struct("idx", "data")).alias("found"))
+    return written.select("block", "ids", "places").join(found, "block", "left").drop("block").mapInArrow(join, schema)
 
 
-def encode_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids array<int> and whether they decode to the very text, of every row of docs."""
+def encode_ids(docs: DataFrame, tokenizer: str, scratch: Scratch) -> DataFrame:
+    """doc_id, n_tokens, ids array<int> and whether they decode to the very text (by length and 64-bit hash), of every row of docs."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        t = table(tokenizer)
-        texts = ["" if x is None else x for x in b.column(1).to_pylist()]
-        ids, at = t.encode(texts)
+    def made(t: WordTable, doc_id: pa.Array, size: np.ndarray, h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        back = texts_of(pa.array([x.decode() for x in t.decode(ids, at)], pa.large_string()))
+        same = (np.diff(back.offsets) == size) & (back.span_hash(back.offsets[:-1], back.offsets[1:]) == h)
         lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-        same = [x.encode() == y for x, y in zip(texts, t.decode(ids, at), strict=True)]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(at)), lists, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean", limit=1 << 20)
+    return encoded(docs, tokenizer, scratch, made, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -193,16 +294,13 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode_digests(docs: DataFrame, tokenizer: str, scratch: Scratch) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the ids (unsigned 32-bit, little-endian) and of the decoded text."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        t = table(tokenizer)
-        ids, at = t.encode(["" if x is None else x for x in b.column(1).to_pylist()])
-        raw = ids.astype("<u4").tobytes()
-        cut = (at * 4).tolist()
+    def made(t: WordTable, doc_id: pa.Array, size: np.ndarray, h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        raw, cut = ids.astype("<u4").tobytes(), (at * 4).tolist()
         sha = [hashlib.sha256(raw[a:e]).hexdigest() for a, e in zip(cut[:-1], cut[1:], strict=True)]
         back = [hashlib.sha256(x).hexdigest() for x in t.decode(ids, at)]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(at)), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", limit=1 << 20)
+    return scratch.finish(encoded(docs, tokenizer, scratch, made, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
