@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (whether the ids decode to the text) of each document."""
-    return bpe.encode_ids(docs, tokenizer_path("byte_bpe_50k.json"))
+    return bpe.encode_ids(docs, tokenizer_path("byte_bpe_50k.json"), Scratch(spark, "pipeline-bpe"))
 
 
 STAGES = [
