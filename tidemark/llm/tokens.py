@@ -26,8 +26,10 @@ import json
 import os
 import unicodedata
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -100,28 +102,47 @@ class Prefixes:
 
     def counts(self, piece: str) -> array:
         """Tokens of piece[:i] as a piece of its own, for each i."""
-        last: list[str | None] = [None]
-        inside, out = [0], array("i", [0])
-        for i in range(1, len(piece) + 1):
-            at, many = self._step(piece, i, last, self.inner, self.inner_tails, False)
-            last.append(piece[at:i])
-            inside.append(inside[at] + 1)
-            at, many = self._step(piece, i, last, self.ends, self.end_tails, True)
-            out.append(inside[at] + many)
-        return out
-
-    def _step(self, piece: str, i: int, last: list[str | None], tokens: set[str], tails: set[str], end: bool) -> tuple[int, int]:
-        """Where the last token of piece[:i] begins, and that it is one."""
-        j, found = i - 1, []
-        while j >= 0 and (t := piece[j:i]) in tails:
-            if t in tokens:
-                found.append(j)
-            j -= 1
-        fits = self.fits
-        for j in reversed(found):
-            if fits(last[j], piece[j:i], end):
-                return j, 1
-        raise ValueError(f"no token ends {piece[:i]!r}")
+        return next(self.all_counts([piece]))
+
+    def all_counts(self, pieces: Iterable[str]) -> Iterator[array]:
+        """The counts of some pieces. What a piece has in common with the one before it isn't gone over again, so
+        sorted pieces are quick."""
+        last: list[str | None] = [None]  # the last token of each prefix, not at a piece's end
+        inside, out, done = [0], array("i", [0]), ""
+        inner, inner_tails, ends, end_tails, fits = self.inner, self.inner_tails, self.ends, self.end_tails, self.fits
+        known = self.tolerated
+        for piece in pieces:
+            same = len(commonprefix((done, piece)))
+            del last[same + 1 :], inside[same + 1 :], out[same + 1 :]
+            for i in range(same + 1, len(piece) + 1):
+                j = i - 1
+                found = []
+                while j >= 0 and (t := piece[j:i]) in inner_tails:
+                    if t in inner:
+                        found.append((j, t))
+                    j -= 1
+                while True:
+                    j, t = found.pop()
+                    ok = known.get((last[j], t, False))
+                    if fits(last[j], t, False) if ok is None else ok:
+                        break
+                token, total = t, inside[j] + 1
+                j = i - 1
+                found = []
+                while j >= 0 and (t := piece[j:i]) in end_tails:
+                    if t in ends:
+                        found.append((j, t))
+                    j -= 1
+                while True:
+                    j, t = found.pop()
+                    ok = known.get((last[j], t, True))
+                    if fits(last[j], t, True) if ok is None else ok:
+                        break
+                out.append(inside[j] + 1)
+                last.append(token)
+                inside.append(total)
+            done = piece
+            yield out[:]
 
 
 class PieceCounter:
@@ -158,12 +179,6 @@ class PieceCounter:
             known = self.piece_table[p] = self.prefixes.counts(p)
         return known
 
-    def tokens_of(self, word: str) -> int:
-        """Tokens of a word as `split` gives it."""
-        if word[0] == "\0":
-            return self.piece(word[1:])[-1]
-        return sum(self.piece(p if p.isascii() else byte_level(p))[-1] for p in self.pieces.findall(word))
-
     def of_prefixes(self, text: str) -> array:
         """Tokens of text[:i] for each i, for a normalised text without white space."""
         out = array("i", [0] * (len(text) + 1))
@@ -213,9 +228,11 @@ class PieceCounter:
             self.table.clear()
         if len(self.piece_table) > TABLE_LIMIT:
             self.piece_table.clear()
-        for w in words:
-            if w not in self.table:
-                self.table[w] = self.tokens_of(w)
+        cut = {w: [w[1:]] if w[0] == "\0" else [p if p.isascii() else byte_level(p) for p in self.pieces.findall(w)] for w in words if w not in self.table}
+        new = sorted({p for pieces in cut.values() for p in pieces if p not in self.piece_table})
+        self.piece_table.update(zip(new, self.prefixes.all_counts(new), strict=True))
+        for w, pieces in cut.items():
+            self.table[w] = sum(self.piece_table[p][-1] for p in pieces)
 
     def parts(self, text: str) -> list[str | None]:
         """The words; None stands for one special token."""
