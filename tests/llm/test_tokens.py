@@ -127,7 +127,7 @@ def test_words_are_encoded_once(byte, monkeypatch):
     seen, real = [], t.ids_of
     monkeypatch.setattr(t, "ids_of", lambda kind, word: (seen.append((kind, word)), real(kind, word))[1])
     cut = [bpe.Split(texts_of(pa.array(x, pa.large_string())), t) for x in (TEXTS, TEXTS[::-1] + ["more words"])]
-    asked = [(i, d) for i, c in enumerate(cut) for _, d in c.questions(1)]
+    asked = [(i, d) for i, c in enumerate(cut) for _, d in c.questions()]
     got = dict(bpe.answers(asked, t))
     assert len(seen) == len(set(seen))
     want = [t.encode(TEXTS), t.encode(TEXTS[::-1] + ["more words"])]

@@ -37,6 +37,7 @@ from .text import BATCH_ROWS, BYTE_CHARS, IS_WORD, Scratch, Texts, byte_level, m
 
 #: Distinct pieces that a worker keeps encoded; beyond that it starts a new table.
 TABLE_LIMIT = 400_000
+BLOCK = 3 << 20  # bytes of text
 #: Fixed: the byte-level pre-tokenizer's pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a word is: some pieces of the pattern; one piece that the library cut; a special token.
@@ -131,11 +132,11 @@ class WordTable:
 class Split:
     """Texts as numbers of their distinct words.
 
-    before: words before each text (n + 1 values); number: of each word in its place; words and kind: the
-    distinct ones; h: their hashes, by which they are sorted.
+    before: words before each text (n + 1 values); number: of each word in its place; words, kind and place: the
+    distinct ones, the most frequent first, and the range that each one's hash falls into.
     """
 
-    def __init__(self, t: Texts, table: WordTable):
+    def __init__(self, t: Texts, table: WordTable, ranges: int = 1):
         n = len(t.data)
         space = ~IS_WORD[t.data]
         start = space.copy()
@@ -167,31 +168,35 @@ class Split:
             doc, starts, ends, kind = doc[order], starts[order], ends[order], kind[order]
         self.before = np.searchsorted(doc, np.arange(t.n + 1))
         h, first, number = numbered(mix(Texts(raw, np.array([0, len(raw)])).span_hash(starts, ends) ^ _KIND[kind]))
-        order = np.argsort(h)
+        order = np.argsort(-np.bincount(number, minlength=len(h)), kind="stable")
         rank = np.empty(len(h), dtype=np.int64)
         rank[order] = np.arange(len(h))
-        self.h, self.number, first = h[order], rank[number], first[order]
+        self.number, first = rank[number], first[order]
+        self.place = (h[order] >> np.uint64(65 - ranges.bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(h), np.int64)
         size = (ends - starts)[first]
         at, off = ragged(starts[first], size)
         self.words, self.kind = Texts(raw[at], off), kind[first]
 
-    def questions(self, ranges: int) -> Iterator[tuple[int, bytes]]:
+    def questions(self) -> Iterator[tuple[int, bytes]]:
         """The distinct words for each range of hashes."""
-        cut = np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - (ranges.bit_length() - 1))
-        at = [0, *np.searchsorted(self.h, cut).tolist(), len(self.h)]
-        off = self.words.offsets
-        for j, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if s < e:
-                yield j, pack(np.diff(off[s : e + 1]), self.words.data[off[s] : off[e]], self.kind[s:e])
+        size, start = np.diff(self.words.offsets), self.words.offsets[:-1]
+        order = np.argsort(self.place, kind="stable")
+        head = np.flatnonzero(np.diff(self.place[order], prepend=-1)).tolist()
+        for s, e in zip(head, [*head[1:], len(order)], strict=True):
+            own = order[s:e]
+            yield int(self.place[own[0]]), pack(size[own], self.words.data[ragged(start[own], size[own])[0]], self.kind[own])
 
     def placed(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the distinct words, of which each has `size`, at all the words' places; where each text's begin."""
-        return _placed(self.number, self.before, ids, size)
+        return placed(self.number, self.before, self.place, ids, size)
 
 
-def _placed(number: np.ndarray, before: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    many = size[number]
-    where, ends = ragged((np.cumsum(size) - size)[number], many)
+def placed(number: np.ndarray, before: np.ndarray, place: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words, which come range by range, at all the words' places; where each text's begin (n + 1 values)."""
+    at = np.empty(len(place), dtype=np.int64)
+    at[np.argsort(place, kind="stable")] = np.arange(len(place))
+    word = at.take(number, mode="clip")
+    where, ends = ragged((np.cumsum(size) - size)[word], size[word])
     return ids.take(where, mode="clip"), ends[before]
 
 
@@ -224,28 +229,31 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
     spark = prepared(docs.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    ranges = ranges_for(size)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for n, b in enumerate(blocks(batches), 1):
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        for n, b in enumerate(blocks(batches, BLOCK), 1):
             t = texts_of(b.column(1))
-            c = Split(t, table(tokenizer))
+            c = Split(t, table(tokenizer), ranges)
             h = t.span_hash(t.offsets[:-1], t.offsets[1:])
-            doc_ids = b.column(0)
-            cols = [pa.array([task + n]), pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([pack(np.diff(c.before), c.number, np.diff(t.offsets), h)], pa.binary()), pa.array([pack(c.h, np.diff(c.words.offsets), c.words.data, c.kind)], pa.binary()), pa.array([len(t.data)])]
-            yield pa.RecordBatch.from_arrays(cols, ["block", "ids", "places", "words", "bytes"])
+            data = [pack(np.diff(c.before), c.number, c.place, np.diff(t.offsets), h), pack(np.diff(c.words.offsets), c.words.data, c.kind, c.place)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((["places", "words"], [task + n] * 2, [b.column(0).to_pylist(), None], data), kinds, strict=True)], ["part", "block", "ids", "data"])
 
-    written = scratch.write(docs.select("doc_id", "text").mapInArrow(split, "block bigint, ids array<bigint>, places binary, words binary, bytes bigint"), "split")
-    ranges = ranges_for(written.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n)
+    written = docs.select("doc_id", "text").mapInArrow(split, "part string, block bigint, ids array<bigint>, data binary")
+    places, words = scratch.write_parts(written, "split", "part", ["places", "words"])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = Split.__new__(Split)
-                c.h, size, raw, kind = unpack(data)
-                c.h, c.kind = c.h.astype(np.uint64), kind.astype(np.int64)
+                size, raw, kind, place = unpack(data)
+                c.kind, c.place = kind.astype(np.int64), place.astype(np.int64)
                 c.words = Texts(raw.astype(np.uint8), np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
-                for j, question in c.questions(ranges):
+                for j, question in c.questions():
                     yield batch_of(ASKED, [block], [j], [question])
 
     def answer(idx: int, asked: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -255,16 +263,18 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                many, number, size, h = unpack(b.column("places")[i].as_py())
+                many, number, place, size, h = unpack(b.column("data")[i].as_py())
                 before = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
                 pieces = [unpack(p["data"]) for p in sorted(b.column("found")[i].as_py() or [], key=lambda p: p["idx"])]
                 word_size, low, high = (np.concatenate([p[k] for p in pieces]).astype(np.int64) if pieces else np.empty(0, np.int64) for k in range(3))
-                ids, at = _placed(number.astype(np.int64), before, low + (high << 8), word_size)
+                ids, at = placed(number.astype(np.int64), before, place, low + (high << 8), word_size)
                 yield made(table(tokenizer), pa.array(b.column("ids")[i].as_py(), pa.int64()), size.astype(np.int64), h.astype(np.uint64), ids, at)
 
-    found = by_range(written.select("block", "words").mapInArrow(ask, ASKED), answer, ASKED)
+    found = scratch.write(by_range(words.select("block", "data").mapInArrow(ask, ASKED), answer, ASKED), "answers")
+    del words, written
+    scratch.drop("split/part=words")
     found = found.groupBy(F.col("who").alias("block")).agg(F.collect_list(F.struct("idx", "data")).alias("found"))
-    return written.select("block", "ids", "places").join(found, "block", "left").drop("block").mapInArrow(join, schema)
+    return places.join(found, "block", "left").select("ids", "data", "found").mapInArrow(join, schema)
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, scratch: Scratch) -> DataFrame:

@@ -211,6 +211,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_parts(self, df: DataFrame, name: str, column: str, values: list[str]) -> list[DataFrame]:
+        """Writes a table once, in a folder for each of a column's values, and gives the tables without it."""
+        path = f"{self.path}/{name}"
+        self.names.append(name)
+        df.write.partitionBy(column).option("compression", "zstd").parquet(path)
+        rest = df.drop(column)
+        there = self.spark.read.schema(df.schema).parquet(path)  # no row may have a value
+        found = {r[0] for r in there.select(column).distinct().collect()}
+        return [self.spark.read.schema(rest.schema).parquet(f"{path}/{column}={v}") if v in found else self.spark.createDataFrame([], rest.schema) for v in values]
+
     def finish(self, df: DataFrame) -> DataFrame:
         """Writes a run's result and removes all its other tables."""
         others = list(self.names)
