@@ -126,15 +126,18 @@ def test_words_are_encoded_once(byte, monkeypatch):
     t = bpe.WordTable(str(byte))
     seen, real = [], t.ids_of
     monkeypatch.setattr(t, "ids_of", lambda kind, word: (seen.append((kind, word)), real(kind, word))[1])
-    cut = [bpe.Split(texts_of(pa.array(x, pa.large_string())), t) for x in (TEXTS, TEXTS[::-1] + ["more words"])]
+    texts = [TEXTS, TEXTS[::-1] + ["more words"]]
+    cut = [bpe.Block([bpe.Split(texts_of(pa.array(x[s : s + 2], pa.large_string())), t) for s in range(0, len(x), 2)]) for x in texts]
     asked = [(i, d) for i, c in enumerate(cut) for _, d in c.questions()]
     got = dict(bpe.answers(asked, t))
     assert len(seen) == len(set(seen))
-    want = [t.encode(TEXTS), t.encode(TEXTS[::-1] + ["more words"])]
     for i, c in enumerate(cut):
+        ids, at = t.encode(texts[i])
         size, low, high = (x.astype(np.int64) for x in unpack(got[i]))
-        ids, at = c.placed(low + (high << 8), size)
-        assert ids.tolist() == want[i][0].tolist() and at.tolist() == want[i][1].tolist()
+        p = bpe.Places(c.number, c.before, c.place, low + (high << 8), size)
+        for s, e in ((0, len(texts[i])), (2, 5)):
+            own, begin = p.ids(s, e)
+            assert own.tolist() == ids[at[s] : at[e]].tolist() and begin.tolist() == (at[s : e + 1] - at[s]).tolist()
 
 
 def test_op8_over_the_smallest_table(spark, data):

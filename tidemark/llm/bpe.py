@@ -13,7 +13,7 @@ range. A word that makes up a third of all text is one entry in each block.
 
 Nulls are empty texts (no ids). Repeated rows are encoded each; other columns are ignored; an empty table gives an
 empty result. The special string of the vocabulary file inside a text is one id, which is the library's default.
-Texts of any length are encoded whole; a block holds one text at least, and takes some 20 times its bytes of memory.
+Texts of any length are encoded whole; a text of over 1 MB takes some 60 times its bytes of memory.
 """
 
 from __future__ import annotations
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 
 from ..session import prepared
 from .exchange import ASKED, batch_of, blocks, by_range, numbered, pack, ragged, ranges_for, unpack
-from .text import BATCH_ROWS, BYTE_CHARS, IS_WORD, Scratch, Texts, byte_level, mix, texts_of
+from .text import BATCH_ROWS, BYTE_CHARS, IS_WORD, Scratch, Texts, byte_level, mix, slices, texts_of
 
 #: Distinct pieces that a worker keeps encoded; beyond that it starts a new table.
 TABLE_LIMIT = 400_000
-BLOCK = 3 << 20  # bytes of text
+BLOCK, PART = 16 << 20, 1 << 20  # bytes of text in a block, and of those that are worked on at a time
 #: Fixed: the byte-level pre-tokenizer's pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a word is: some pieces of the pattern; one piece that the library cut; a special token.
@@ -119,8 +119,8 @@ class WordTable:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a few texts in memory, and where each text's ids start (n + 1 values)."""
-        c = Split(texts_of(pa.array(texts, pa.large_string())), self)
-        return c.placed(*self.encode_words(c.words, c.kind))
+        c = Block([Split(texts_of(pa.array(texts, pa.large_string())), self)])
+        return Places(c.number, c.before, c.place, *self.encode_words(c.words, c.kind)).ids(0, len(texts))
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Each text's bytes: ids joined with their pieces. Invalid UTF-8 becomes U+FFFD, as in the library."""
@@ -132,11 +132,11 @@ class WordTable:
 class Split:
     """Texts as numbers of their distinct words.
 
-    before: words before each text (n + 1 values); number: of each word in its place; words, kind and place: the
-    distinct ones, the most frequent first, and the range that each one's hash falls into.
+    before: words before each text (n + 1 values); number: of each word in its place; words, kind and h: the
+    distinct ones, and their hashes.
     """
 
-    def __init__(self, t: Texts, table: WordTable, ranges: int = 1):
+    def __init__(self, t: Texts, table: WordTable):
         n = len(t.data)
         space = ~IS_WORD[t.data]
         start = space.copy()
@@ -167,15 +167,28 @@ class Split:
             order = np.argsort(doc, kind="stable")
             doc, starts, ends, kind = doc[order], starts[order], ends[order], kind[order]
         self.before = np.searchsorted(doc, np.arange(t.n + 1))
-        h, first, number = numbered(mix(Texts(raw, np.array([0, len(raw)])).span_hash(starts, ends) ^ _KIND[kind]))
+        self.h, first, self.number = numbered(mix(Texts(raw, np.array([0, len(raw)])).span_hash(starts, ends) ^ _KIND[kind]))
+        size = (ends - starts)[first]
+        at, off = ragged(starts[first], size)
+        self.words, self.kind = Texts(raw[at], off), kind[first]
+
+
+class Block:
+    """Some splits as one: the most frequent words come first, and `place` is the range that each one's hash falls into."""
+
+    def __init__(self, parts: list[Split], ranges: int = 1):
+        h, first, number = numbered(np.concatenate([p.h for p in parts]))
+        cut = np.cumsum([0, *(len(p.h) for p in parts)])
+        number = np.concatenate([number[c : c + len(p.h)][p.number] for c, p in zip(cut, parts, strict=False)])
         order = np.argsort(-np.bincount(number, minlength=len(h)), kind="stable")
         rank = np.empty(len(h), dtype=np.int64)
         rank[order] = np.arange(len(h))
         self.number, first = rank[number], first[order]
         self.place = (h[order] >> np.uint64(65 - ranges.bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(h), np.int64)
-        size = (ends - starts)[first]
-        at, off = ragged(starts[first], size)
-        self.words, self.kind = Texts(raw[at], off), kind[first]
+        self.before = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.before) for p in parts]))]).astype(np.int64)
+        size = np.concatenate([np.diff(p.words.offsets) for p in parts])
+        at, off = ragged((np.cumsum(size) - size)[first], size[first])
+        self.words, self.kind = Texts(np.concatenate([p.words.data for p in parts])[at], off), np.concatenate([p.kind for p in parts])[first]
 
     def questions(self) -> Iterator[tuple[int, bytes]]:
         """The distinct words for each range of hashes."""
@@ -186,18 +199,23 @@ class Split:
             own = order[s:e]
             yield int(self.place[own[0]]), pack(size[own], self.words.data[ragged(start[own], size[own])[0]], self.kind[own])
 
-    def placed(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the distinct words, of which each has `size`, at all the words' places; where each text's begin."""
-        return placed(self.number, self.before, self.place, ids, size)
 
+class Places:
+    """Words' places in texts, and the ids of the distinct words, which come range by range."""
 
-def placed(number: np.ndarray, before: np.ndarray, place: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of distinct words, which come range by range, at all the words' places; where each text's begin (n + 1 values)."""
-    at = np.empty(len(place), dtype=np.int64)
-    at[np.argsort(place, kind="stable")] = np.arange(len(place))
-    word = at.take(number, mode="clip")
-    where, ends = ragged((np.cumsum(size) - size)[word], size[word])
-    return ids.take(where, mode="clip"), ends[before]
+    def __init__(self, number: np.ndarray, before: np.ndarray, place: np.ndarray, ids: np.ndarray, size: np.ndarray):
+        order = np.argsort(place, kind="stable")
+        start = np.empty(len(order), dtype=np.int64)
+        start[order] = np.cumsum(size) - size
+        many = np.empty(len(order), dtype=np.int64)
+        many[order] = size
+        self.number, self.before, self.all_ids, self.start, self.many = number, before, ids, start, many
+
+    def ids(self, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts s to e, and where each text's begin (one more value than texts)."""
+        word = self.number[self.before[s] : self.before[e]]
+        where, ends = ragged(self.start.take(word, mode="clip"), self.many.take(word, mode="clip"))
+        return self.all_ids.take(where, mode="clip"), ends[self.before[s : e + 1] - self.before[s]]
 
 
 @lru_cache(maxsize=2)
@@ -221,6 +239,13 @@ def answers(asked: list[tuple[int, bytes]], t: WordTable) -> Iterator[tuple[int,
         own = number[s:e]
         found = ids[ragged(begin[own], many[own])[0]]
         yield who, pack(many[own], (found & 255).astype(np.uint8), found >> 8)
+    t.known.clear()  # no other range has these words
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    edge = np.flatnonzero(np.diff(x, prepend=x[:1] - 1))
+    return edge, np.concatenate([edge[1:], [len(x)]]) if len(edge) else edge
 
 
 def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, schema: str) -> DataFrame:
@@ -236,10 +261,14 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         for n, b in enumerate(blocks(batches, BLOCK), 1):
-            t = texts_of(b.column(1))
-            c = Split(t, table(tokenizer), ranges)
-            h = t.span_hash(t.offsets[:-1], t.offsets[1:])
-            data = [pack(np.diff(c.before), c.number, c.place, np.diff(t.offsets), h), pack(np.diff(c.words.offsets), c.words.data, c.kind, c.place)]
+            parts, size, h = [], [], []
+            for part in slices(b, "text", PART):
+                t = texts_of(part.column(1))
+                parts.append(Split(t, table(tokenizer)))
+                size.append(np.diff(t.offsets))
+                h.append(t.span_hash(t.offsets[:-1], t.offsets[1:]))
+            c = Block(parts, ranges)
+            data = [pack(np.diff(c.before), c.number, c.place, np.concatenate(size), np.concatenate(h)), pack(np.diff(c.words.offsets), c.words.data, c.kind, c.place)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((["places", "words"], [task + n] * 2, [b.column(0).to_pylist(), None], data), kinds, strict=True)], ["part", "block", "ids", "data"])
 
     written = docs.select("doc_id", "text").mapInArrow(split, "part string, block bigint, ids array<bigint>, data binary")
@@ -249,7 +278,7 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = Split.__new__(Split)
+                c = Block.__new__(Block)
                 size, raw, kind, place = unpack(data)
                 c.kind, c.place = kind.astype(np.int64), place.astype(np.int64)
                 c.words = Texts(raw.astype(np.uint8), np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
@@ -267,8 +296,11 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
                 before = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
                 pieces = [unpack(p["data"]) for p in sorted(b.column("found")[i].as_py() or [], key=lambda p: p["idx"])]
                 word_size, low, high = (np.concatenate([p[k] for p in pieces]).astype(np.int64) if pieces else np.empty(0, np.int64) for k in range(3))
-                ids, at = placed(number.astype(np.int64), before, place, low + (high << 8), word_size)
-                yield made(table(tokenizer), pa.array(b.column("ids")[i].as_py(), pa.int64()), size.astype(np.int64), h.astype(np.uint64), ids, at)
+                all_places = Places(number.astype(np.int64), before, place, low + (high << 8), word_size)
+                doc_ids, size, h = pa.array(b.column("ids")[i].as_py(), pa.int64()), size.astype(np.int64), h.astype(np.uint64)
+                part = (np.cumsum(size) - size) // PART
+                for s, e in zip(*(x.tolist() for x in _runs(part)), strict=True):
+                    yield made(table(tokenizer), doc_ids.slice(s, e - s), size[s:e], h[s:e], *all_places.ids(s, e))
 
     found = scratch.write(by_range(words.select("block", "data").mapInArrow(ask, ASKED), answer, ASKED), "answers")
     del words, written
