@@ -116,6 +116,15 @@ def test_small_tables_change_nothing(byte, monkeypatch):
     assert small.encode(TEXTS)[0].tolist() == want and small.encode(TEXTS)[0].tolist() == want
 
 
+def test_numbers_come_back():
+    from tidemark.llm.exchange import pack, skewed, unpack, unskewed
+
+    rnd = np.random.default_rng(1)
+    for x in (np.empty(0, np.int64), np.zeros(3, np.int64), np.array([255, 256, 2**40, 0, 1]), np.floor(2 ** (20 * rnd.random(5000))).astype(np.int64)):
+        assert unskewed(*unpack(pack(*skewed(x)))).tolist() == x.tolist()
+        assert unpack(pack(x, x[::-1]))[0].tolist() == x.tolist()
+
+
 def test_words_are_encoded_once(byte, monkeypatch):
     """Two blocks that ask for the same words: each is encoded once, and both get its ids."""
     import pyarrow as pa

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepared
-from .exchange import ASKED, batch_of, blocks, by_range, numbered, pack, ragged, ranges_for, unpack
+from .exchange import ASKED, batch_of, blocks, by_range, numbered, pack, ragged, ranges_for, skewed, unpack, unskewed
 from .text import BATCH_ROWS, BYTE_CHARS, IS_WORD, Scratch, Texts, byte_level, mix, slices, texts_of
 
 #: Distinct pieces that a worker keeps encoded; beyond that it starts a new table.
@@ -268,7 +268,7 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
                 size.append(np.diff(t.offsets))
                 h.append(t.span_hash(t.offsets[:-1], t.offsets[1:]))
             c = Block(parts, ranges)
-            data = [pack(np.diff(c.before), c.number, c.place, np.concatenate(size), np.concatenate(h)), pack(np.diff(c.words.offsets), c.words.data, c.kind, c.place)]
+            data = [pack(np.diff(c.before), *skewed(c.number), c.place, np.concatenate(size), np.concatenate(h)), pack(np.diff(c.words.offsets), c.words.data, c.kind, c.place)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((["places", "words"], [task + n] * 2, [b.column(0).to_pylist(), None], data), kinds, strict=True)], ["part", "block", "ids", "data"])
 
     written = docs.select("doc_id", "text").mapInArrow(split, "part string, block bigint, ids array<bigint>, data binary")
@@ -292,11 +292,11 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                many, number, place, size, h = unpack(b.column("data")[i].as_py())
+                many, number, number_bits, place, size, h = unpack(b.column("data")[i].as_py())
                 before = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
                 pieces = [unpack(p["data"]) for p in sorted(b.column("found")[i].as_py() or [], key=lambda p: p["idx"])]
                 word_size, low, high = (np.concatenate([p[k] for p in pieces]).astype(np.int64) if pieces else np.empty(0, np.int64) for k in range(3))
-                all_places = Places(number.astype(np.int64), before, place, low + (high << 8), word_size)
+                all_places = Places(unskewed(number, number_bits), before, place, low + (high << 8), word_size)
                 doc_ids, size, h = pa.array(b.column("ids")[i].as_py(), pa.int64()), size.astype(np.int64), h.astype(np.uint64)
                 part = (np.cumsum(size) - size) // PART
                 for s, e in zip(*(x.tolist() for x in _runs(part)), strict=True):

@@ -74,6 +74,33 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def skewed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers of which small ones are frequent, as two columns of bytes: each one's bits are counted, and kept
+    but for the first, those of equal length together."""
+    v = x.astype(np.int64) + 1
+    size = np.frexp(v.astype(np.float64))[1].astype(np.uint8)
+    bits = [np.empty(0, np.uint8)]
+    for k in range(2, int(size.max()) + 1 if len(v) else 0):
+        low = v[size == k]
+        bits.append(np.packbits((low[:, None] >> np.arange(k - 1)).astype(np.uint8) & 1))
+    return size, np.concatenate(bits)
+
+
+def unskewed(size: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The numbers that `skewed` made two columns of."""
+    out, at = np.ones(len(size), dtype=np.int64), 0
+    many = np.bincount(size, minlength=2)
+    for k in range(2, len(many)):
+        n = int(many[k]) * (k - 1)
+        here = np.unpackbits(bits[at : at + -(-n // 8)], count=n).reshape(-1, k - 1)
+        low = np.full(len(here), 1 << (k - 1), dtype=np.int64)
+        for b in range(k - 1):
+            low |= here[:, b].astype(np.int64) << b
+        out[size == k] = low
+        at += -(-n // 8)
+    return out - 1
+
+
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their numbers."""
     if not len(keys):
