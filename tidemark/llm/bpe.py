@@ -37,7 +37,7 @@ from .text import BATCH_ROWS, BYTE_CHARS, IS_WORD, Scratch, Texts, byte_level, m
 
 #: Distinct pieces that a worker keeps encoded; beyond that it starts a new table.
 TABLE_LIMIT = 400_000
-BLOCK, PART = 16 << 20, 1 << 20  # bytes of text in a block, and of those that are worked on at a time
+BLOCK, PART = 32 << 20, 1 << 20  # bytes of text in a block, and of those that are worked on at a time
 #: Fixed: the byte-level pre-tokenizer's pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a word is: some pieces of the pattern; one piece that the library cut; a special token.
@@ -180,11 +180,11 @@ class Block:
         h, first, number = numbered(np.concatenate([p.h for p in parts]))
         cut = np.cumsum([0, *(len(p.h) for p in parts)])
         number = np.concatenate([number[c : c + len(p.h)][p.number] for c, p in zip(cut, parts, strict=False)])
-        order = np.argsort(-np.bincount(number, minlength=len(h)), kind="stable")
+        place = (h >> np.uint64(65 - ranges.bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(h), np.int64)
+        order = np.lexsort((place, -np.bincount(number, minlength=len(h))))  # words that are as frequent come range by range
         rank = np.empty(len(h), dtype=np.int64)
         rank[order] = np.arange(len(h))
-        self.number, first = rank[number], first[order]
-        self.place = (h[order] >> np.uint64(65 - ranges.bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(h), np.int64)
+        self.number, first, self.place = rank[number], first[order], place[order]
         self.before = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.before) for p in parts]))]).astype(np.int64)
         size = np.concatenate([np.diff(p.words.offsets) for p in parts])
         at, off = ragged((np.cumsum(size) - size)[first], size[first])
