@@ -221,17 +221,38 @@ def test_leaks_against_every_window():
     for d, x in enumerate(docs):
         for i, y in items:
             a = split(y)
-            if len(a) >= decontam.LEAST_WORDS and (e := closest(a, split(x))) <= decontam.budget(len(a)):
+            if (e := closest(a, split(x))) <= decontam.budget(len(a)):
                 want[d, i] = e
     assert len(set(want) - set(got)) <= 0.01 * len(want)
     assert not set(got) - set(want)
 
 
+def test_short_items_match_exactly():
+    items = ["one", "two words", "a b c d e f g", "of a document's end"]
+    docs = ["ONE", "some two, words", "two", "words two", "x a b c d e f g y", "a b c d e f h", "the end of a document", "s end", "nothing"]
+    found = decontam.Items([10, 11, 12, 13], items).search(texts_of(pa.array(docs, pa.large_string()), lower=True))
+    assert {(int(d), int(i), int(e)) for d, i, e in zip(*found, strict=True)} == {(0, 0, 0), (1, 1, 0), (4, 2, 0)}
+
+
+def test_common_words_make_few_candidates():
+    """Items and documents of a few very frequent words: samples that stay on one word aren't in the index."""
+    rnd = random.Random(2)
+    words = ["the", "of", "and", "to"]
+    text = lambda n: " ".join(rnd.choice(words) if rnd.random() < 0.7 else f"w{rnd.randrange(3000)}" for _ in range(n))
+    items = [text(30) for _ in range(100)]
+    it = decontam.Items(list(range(100)), items)
+    t = texts_of(pa.array([text(3000), items[3] + " " + text(500)], pa.large_string()), lower=True)
+    h, _ = decontam.word_hashes(t)
+    hits = sum(len(p) for k, key in decontam.sample_keys(h) for p, _, _ in it.tables[k].hits(key))
+    assert hits < 200 * len(h)
+    assert (1, 3, 0) in set(zip(*(x.tolist() for x in it.search(t)), strict=True))
+
+
 def test_leaks_of_odd_texts(odd, empty, spark, monkeypatch):
     rnd = random.Random(9)
     item = prose(rnd, 20)
     docs = odd.select("doc_id", "text").union(spark.createDataFrame([(90, "before " + item + " after"), (91, item), (91, item)], "doc_id bigint, text string"))
-    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (None, item), (4, "too short")], "item_id bigint, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (None, item), (4, "not in there")], "item_id bigint, text string")
     assert sorted((r.doc_id, r.item_id, r.edits) for r in decontam.leaks(docs, bench).collect()) == [(90, 1, 0)] * 2 + [(91, 1, 0)] * 4
     assert decontam.leaks(empty, bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1)  # one item a pass

@@ -1,29 +1,30 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling and exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
 
 A document is contaminated by an item when some stretch of it is within the item's edit budget: word
 insertions, deletions and substitutions of at most EDIT_SHARE of the item's words. Words are runs of letters,
 digits and bytes over 127; case of A-Z and punctuation don't count.
 
-1. Seeds. An item is cut into three-word pieces. With at most (words // 3) - 1 edits one piece stays whole, so
-   every match holds a seed exactly: this step loses nothing.
-2. Each seed hit fixes an item-sized window of the document. Item and window are embedded by the CGK random
-   walk, forward and backward from the seed: step i writes the current word and moves on or stays by a random
-   bit of (i, word). Edit distance becomes Hamming distance.
-3. Repeated sampling of SAMPLES coordinates, in WALKS independent walks, picks the candidates. At a share p of
-   equal coordinates a candidate is missed with probability (1 - p**SAMPLES) ** (WALKS * REPEATS), under one
-   in a thousand at p = 0.45.
-4. Candidates are confirmed by exact edit distance between the item and the stretch around the window.
-
-Items are taken in blocks of at most BLOCK_BYTES of text, each block in one pass over the documents, so what
-goes to the executors has a fixed bound however large the benchmark is. Items under LEAST_WORDS words are too
-short to tell a leak from chance and match nothing, as do null and empty ones. Repeated documents and items
-are judged each for itself. Whole texts are searched.
+1. Embedding. The CGK random walk writes the current word at each step and moves on or stays by a random bit of
+   the step and the word, so that texts at a small edit distance get embeddings at a small Hamming distance. It
+   is taken from every word of the documents and of the items, in WALKS independent walks of STEPS steps.
+2. Index. From each walk REPEATS samples of SAMPLES coordinates make keys. Every place of an item is in the
+   tables, every place of a document is looked up, and a hit says where an item-sized window would begin. Repeats
+   by places and walks bring the recall: a window is missed only if no place of it has a sample without an edit.
+3. Verification. Each window that was hit, with the budget's slack on both sides, is compared with its item by
+   exact edit distance in words.
+
+Items of under LEAST_WORDS words have no budget: their whole word sequence is one key, and an exact copy is a
+match. Null items and items without words match nothing. Items are taken in blocks of at most BLOCK_BYTES of
+text, each block in one pass over the documents, so what goes to the executors has a fixed bound however large
+the benchmark is. Repeated documents and items are judged each for itself; empty tables give empty results. Whole
+texts are searched, at some 100 times a text's bytes of memory if it is over 1 MB.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,18 @@ from .text import Texts, map_slices, mix, texts_of
 
 EDIT_SHARE = 0.25
 LEAST_WORDS = 8
-SEED = 3
-WALKS, REPEATS, SAMPLES = 6, 6, 2
-BLOCK_BYTES = 4 << 20
+WALKS, STEPS, REPEATS, SAMPLES, PLACES = 6, 8, 2, 4, 4
+BLOCK_BYTES = 1 << 20
+#: Hits that are worked on at a time.
+HITS = 1 << 18
 _PAD = np.uint64(0)
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _K = np.uint64(0xD1342543DE82EF95)
+_RNG = np.random.default_rng(11)
+_SALT = _RNG.integers(1, 2**63, WALKS, dtype=np.uint64)
+#: The sampled coordinates of each walk and repeat; the first one is always there, as it says where the place is.
+SAMPLED = [[sorted([0, *_RNG.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False).tolist()]) for _ in range(REPEATS)] for _ in range(WALKS)]
 
 
 def word_hashes(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -50,121 +56,131 @@ def word_hashes(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def budget(words: int) -> int:
-    return min(int(EDIT_SHARE * words), words // SEED - 1)
+    return min(int(EDIT_SHARE * words), words // 3 - 1) if words >= LEAST_WORDS else 0
+
+
+def sample_keys(h: np.ndarray, stop: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and keys of each sample, one for each word: what the walk from there wrote at the sampled steps.
+
+    stop: for each word where its text ends; a walk that gets there has the key PAD, and so has one whose samples are
+    of fewer than PLACES places: as it stayed, they say too little. Without it walks run on.
+    """
+    n = len(h)
+    if not n:
+        return
+    last = np.full(n, n) if stop is None else stop
+    for w, repeats in enumerate(SAMPLED):
+        bits = mix(h ^ _SALT[w])
+        wanted = {i for r in repeats for i in r}
+        pos, wrote, places = np.arange(n), {}, {}
+        for i in range(max(wanted) + 1):
+            at = np.minimum(pos, n - 1)
+            if i in wanted:
+                places[i] = pos.copy() if stop is not None else None
+                wrote[i] = h.take(at, mode="clip") if stop is None else np.where(pos < last, h[at], _PAD)
+            pos += (bits.take(at, mode="clip") >> np.uint64(i) & np.uint64(1)).astype(np.int64)
+        for r, coords in enumerate(repeats):
+            key, bad = np.full(n, w * REPEATS + r + 1, dtype=np.uint64), np.zeros(n, dtype=bool)
+            for i in coords:
+                key *= _K
+                key += wrote[i]
+                if stop is not None:
+                    bad |= wrote[i] == _PAD
+            if stop is not None:
+                bad |= 1 + sum((places[j] != places[i]).astype(np.int64) for i, j in pairwise(coords)) < PLACES
+            key = mix(key) | np.uint64(1)
+            yield w * REPEATS + r, key if stop is None else np.where(bad, _PAD, key)
+
+
+def sequence_keys(h: np.ndarray, words: int) -> np.ndarray:
+    """A hash of each `words` neighbouring words."""
+    n = max(len(h) - words + 1, 0)
+    v = np.full(n, words, dtype=np.uint64)
+    for k in range(words):
+        v = v * _K + h[k : n + k]
+    return mix(v) | np.uint64(1)
 
 
-def seed_hashes(h: np.ndarray) -> np.ndarray:
-    """A hash of each three neighbouring words."""
-    n = max(len(h) - SEED + 1, 0)
-    v = h[:n].copy()
-    for k in range(1, SEED):
-        v = v * _K + h[k : n + k]
-    return mix(v)
-
-
-def walk(h: np.ndarray, at: np.ndarray, stop: np.ndarray, step: int, salt: int, steps: int) -> np.ndarray:
-    """The CGK embedding, `steps` words for each start in `at`; PAD once `stop` is reached."""
-    pos = at.copy()
-    out = np.empty((len(at), steps), dtype=np.uint64)
-    for i in range(steps):
-        alive = pos < stop if step > 0 else pos > stop
-        word = np.where(alive, h[np.where(alive, pos, 0)], _PAD) if len(h) else np.zeros(len(at), np.uint64)
-        out[:, i] = word
-        code = np.uint64((salt * 0x9E3779B97F4A7C15 + i * 0xBF58476D1CE4E5B9) % 2**64)
-        bit = mix(word ^ code) >> np.uint64(63)
-        pos = pos + np.where(alive, bit.astype(np.int64) * step, 0)
-    return out
+class Table:
+    """Keys of items' places: item and offset of each, sorted by key, behind a filter of one byte a slot."""
+
+    def __init__(self, key: np.ndarray, item: np.ndarray, off: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        self.key, self.item, self.off = key[order], item[order], off[order]
+        self.mask = np.uint64(max(1 << 16, 1 << (16 * len(key)).bit_length()) - 1)
+        self.filter = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.filter[(self.key >> np.uint64(8) & self.mask).astype(np.int64)] = True
+
+    def hits(self, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Place, item and offset of what is found, HITS at a time (or those of one place)."""
+        p = np.flatnonzero(self.filter.take((key >> np.uint64(8) & self.mask).astype(np.int64), mode="clip"))
+        a, b = np.searchsorted(self.key, key[p]), np.searchsorted(self.key, key[p], side="right")
+        p, a, n = p[b > a], a[b > a], (b - a)[b > a]
+        cut = np.flatnonzero(np.diff(np.cumsum(n) // HITS, prepend=0)) if len(n) else []
+        for rows in np.split(np.arange(len(p)), cut):
+            if len(rows):
+                row = np.repeat(rows, n[rows])
+                at = a[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
+                yield p[row], self.item[at], self.off[at]
 
 
 class Items:
     """A block of benchmark items, ready for search."""
 
-    def __init__(self, ids: list[int], texts: list[str], seed: int = 11):
+    def __init__(self, ids: list[int], texts: list[str]):
         t = texts_of(pa.array(texts, pa.large_string()), lower=True)
         self.h, self.at = word_hashes(t)
         self.ids = np.array(ids, dtype=np.int64)
         self.words = np.diff(self.at)
-        item, off = [], []
-        for i, n in enumerate(self.words.tolist()):
-            if n >= LEAST_WORDS:
-                o = list(range(0, n - n % SEED, SEED))
-                item += [i] * len(o)
-                off += o
-        self.item, self.off = np.array(item, dtype=np.int64), np.array(off, dtype=np.int64)
-        key = seed_hashes(self.h)[self.at[self.item] + self.off] if item else np.empty(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.item, self.off, self.key = self.item[order], self.off[order], key[order]
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[(self.key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.longest = int(self.words.max()) if len(ids) else 0
-        self._sample(np.random.default_rng(seed))
-
-    def embed(self, h: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, salt: int, longest: int) -> np.ndarray:
-        """Backward and forward walks from `at`; columns 0 to 3 * longest - 1 go back."""
-        return np.concatenate([walk(h, at - 1, low - 1, -1, 2 * salt, 3 * longest), walk(h, at, high, 1, 2 * salt + 1, 3 * longest)], axis=1)
-
-    def _sample(self, rng: np.random.Generator) -> None:
-        """For each seed and walk the sampled columns, out of those where the item's embedding has a word."""
-        n, m = len(self.item), REPEATS * SAMPLES
-        self.column = np.zeros((WALKS, n, m), dtype=np.int64)
-        self.value = np.zeros((WALKS, n, m), dtype=np.uint64)
-        first = self.at[self.item] if n else self.item
-        for w in range(WALKS):
-            for s in range(0, n, 4096):
-                e = slice(s, s + 4096)
-                emb = self.embed(self.h, first[e] + self.off[e], first[e], first[e] + self.words[self.item[e]], w, self.longest)
-                score = np.where(emb != _PAD, rng.random(emb.shape), 2.0)
-                pick = np.argpartition(score, min(m, emb.shape[1]) - 1, axis=1)[:, :m] if emb.shape[1] >= m else np.resize(np.arange(emb.shape[1]), (len(emb), m))
-                self.column[w, e] = pick
-                self.value[w, e] = np.take_along_axis(emb, pick, axis=1)
+        self.budget = np.array([budget(w) for w in self.words.tolist()], dtype=np.int64)
+        item = np.repeat(np.arange(len(ids)), self.words)
+        off = np.arange(len(item)) - self.at[item]
+        long = self.words[item] >= LEAST_WORDS if len(item) else np.empty(0, bool)
+        self.tables: dict[int, Table] = {}
+        for k, key in sample_keys(self.h, self.at[item + 1] if len(item) else None):
+            use = np.flatnonzero(long & (key != _PAD))
+            self.tables[k] = Table(key[use], item[use], off[use])
+        self.short: dict[int, Table] = {}
+        for n in sorted({n for n in self.words.tolist() if 0 < n < LEAST_WORDS}):
+            own = np.flatnonzero(self.words == n)
+            self.short[n] = Table(sequence_keys(self.h, n)[self.at[own]], own, np.zeros(len(own), np.int64))
 
     def search(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, item (positions in the block) and edits of each match in lower-cased texts, one for each pair."""
-        none = np.empty(0, np.int64)
         h, at = word_hashes(t)
-        key = seed_hashes(h)
-        p = np.flatnonzero(self.filter[(key & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        a, b = np.searchsorted(self.key, key[p]), np.searchsorted(self.key, key[p], side="right")
-        n = b - a
-        p, seed = np.repeat(p, n), np.arange(n.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else none
-        doc = np.searchsorted(at, p, side="right") - 1
-        ok = p + SEED <= at[doc + 1]
-        p, seed, doc = p[ok], seed[ok], doc[ok]
-        if not len(p):
-            return none, none, none
-        keep = np.concatenate([self._candidates(h, at, p[s : s + 4096], seed[s : s + 4096], doc[s : s + 4096]) for s in range(0, len(p), 4096)])
-        p, seed, doc = p[keep], seed[keep], doc[keep]
-        # one verification for each document, item and place
-        item, start = self.item[seed], p - self.off[seed]
-        place = np.unique(np.stack([doc, item, start], axis=1), axis=0) if len(p) else np.empty((0, 3), np.int64)
-        edits = np.concatenate([self._edits(h, at, place[s : s + 1024]) for s in range(0, len(place), 1024)]) if len(place) else none
-        good = edits <= np.array([budget(w) for w in self.words[place[:, 1]].tolist()], dtype=np.int64)
+        doc_of = np.repeat(np.arange(t.n), np.diff(at))
+        places = [np.empty((0, 3), np.int64)]
+        for k, key in sample_keys(h):
+            for p, item, off in self.tables[k].hits(key) if len(self.tables[k].key) else ():
+                places.append(np.unique(np.stack([doc_of[p], item, p - off], axis=1), axis=0))
+        place = np.unique(np.concatenate(places), axis=0)
+        place = place[np.argsort(self.words[place[:, 1]], kind="stable")]  # items of like sizes together
+        edits = np.empty(len(place), dtype=np.int64)
+        s = 0
+        while s < len(place):
+            e = s + 1
+            e = min(len(place), s + max(1, (1 << 18) // int(2 * self.words[place[min(s + 1023, len(place) - 1), 1]] + 1)), s + 1024)
+            edits[s:e] = self._edits(h, at, place[s:e])
+            s = e
+        good = edits <= self.budget[place[:, 1]]
         place, edits = place[good], edits[good]
+        exact = [np.empty((0, 3), np.int64)]
+        for n, table in self.short.items():
+            for p, item, _ in table.hits(sequence_keys(h, n)):
+                inside = doc_of[p] == doc_of[p + n - 1]
+                exact.append(np.stack([doc_of[p], item, p], axis=1)[inside])
+        place = np.concatenate([place, *exact])
+        edits = np.concatenate([edits, np.zeros(len(place) - len(edits), np.int64)])
         order = np.lexsort((edits, place[:, 1], place[:, 0]))
         place, edits = place[order], edits[order]
         first = np.concatenate([[True], (place[1:, :2] != place[:-1, :2]).any(axis=1)]) if len(place) else np.empty(0, bool)
         return place[first, 0], place[first, 1], edits[first]
 
-    def _candidates(self, h, at, p, seed, doc) -> np.ndarray:
-        """Whether any repetition finds all its sampled coordinates equal."""
-        size, off = self.words[self.item[seed]], self.off[seed]
-        low = np.maximum(p - off, at[doc])
-        high = np.minimum(p - off + size, at[doc + 1])
-        found = np.zeros(len(p), dtype=bool)
-        for w in range(WALKS):
-            left = np.flatnonzero(~found)
-            if not len(left):
-                break
-            emb = self.embed(h, p[left], low[left], high[left], w, self.longest)
-            same = np.take_along_axis(emb, self.column[w][seed[left]], axis=1) == self.value[w][seed[left]]
-            found[left] = same.reshape(len(left), REPEATS, SAMPLES).all(axis=2).any(axis=1)
-        return found
-
     def _edits(self, h, at, place) -> np.ndarray:
         """Exact edit distance of each item to the closest stretch around each place (document, item, start)."""
         doc, item, start = place.T
         size = self.words[item]
-        slack = np.array([budget(w) for w in size.tolist()], dtype=np.int64)
+        slack = self.budget[item]
         low = np.maximum(start - slack, at[doc])
         width = np.minimum(start + size + slack, at[doc + 1]) - low
         columns = int(width.max())
