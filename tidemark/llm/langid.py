@@ -63,7 +63,7 @@ class Model:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = np.zeros((1 << 12, len(self.languages)), dtype=np.float32)
         self.letters: list[bool] = []
 
     @classmethod
@@ -103,8 +103,11 @@ class Model:
         for t in tokens:
             if t not in self.index:
                 words = _LETTERS.findall(t)
-                self.index[t] = len(self.rows)
-                self.rows.append(sum(map(self.word, words), np.zeros(len(self.languages), np.float32)))
+                at = self.index[t] = len(self.letters)
+                if at == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                for w in words:
+                    self.rows[at] += self.word(w)
                 self.letters.append(bool(words))
 
     def votes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +122,7 @@ class Model:
                 self.learn(set(flat))
                 at = list(map(self.index.__getitem__, flat))
         rows, at = np.unique(np.array(at, dtype=np.int64), return_inverse=True)
-        table = np.array([self.rows[r] for r in rows], dtype=np.float64).reshape(len(rows), len(self.languages))
+        table = self.rows[rows].astype(np.float64)
         has = np.array([self.letters[r] for r in rows], dtype=bool)
         ends = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)]).astype(np.int64)
         sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(table[at], axis=0)]) if len(at) else np.zeros((1, len(self.languages)))

@@ -41,7 +41,8 @@ from .text import Scratch, Texts, fresh, map_slices, texts_of
 
 WIDTH = 200
 GRAM = 40
-GROUP_LIMIT = 20_000
+#: Units of one anchor that a task sorts together: some 2 MB, at about 100 bytes of memory for each.
+GROUP_LIMIT = 6_000
 #: Bytes of units that a task sorts at a time; a group isn't cut.
 SORT_BYTES = 1 << 20
 _REACH = WIDTH - GRAM + 1
