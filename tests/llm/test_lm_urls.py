@@ -171,6 +171,31 @@ def test_long_text_keeps_its_weights():
     assert np.isclose(lm.score(c, a, np.zeros(2))[0], cost / math.log(2), rtol=1e-4)
 
 
+def test_weights_move_after_every_decision(monkeypatch):
+    """Every decision that any weight can change is mixed, and moves the weights before the next one is predicted, side by side or one by one."""
+    texts = ["the cat sat on the mat, É. A dog ate " * 60, "short", "", "a dog " * 90, "x" * 300 + " The end."]
+    m = Memory([["the dog sat. "] * 20 + texts[:1], texts], [[False] * 21, [True] * 5])
+    u, c, a = m.units, m.cuts[1], m.answers(1)
+    sure, many, z = u.mixed(m.weights)
+    assert z.any(axis=1).all()
+    assert np.allclose(sure / math.log(2) + many, np.diff(u.unit_at))
+    want = np.zeros(5)
+    for i in range(5):
+        w = np.full((lm.LAST_GATES, 2), lm.FIRST)
+        for e in c.entry[c.before[i] : c.before[i + 1]].tolist():
+            want[i] += a.sure[e]
+            for r in range(a.at[e], a.at[e + 1]):
+                x, g = a.x[:, a.z[r]].astype(float), a.gate[a.z[r]]
+                q = w[g] @ x
+                want[i] += np.log1p(np.exp(-q))
+                w[g] += float(lm.RATE) / (1 + np.exp(q)) * x
+    for few, slab, chunk in ((0, 1 << 17, 1 << 20), (3, 50, 500), (99, 70, 1000)):
+        monkeypatch.setattr(lm, "FEW", few)
+        monkeypatch.setattr(lm, "SLAB", slab)
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        assert np.allclose(lm.score(c, a, np.zeros(5)), want / math.log(2), rtol=1e-5)
+
+
 def test_held_out_texts_cost_less_than_the_base_says(spark):
     import os
 

@@ -10,8 +10,8 @@ did at that node of the tree in that context.
 Predictions are mixed in two layers. In the first two sets of weights, fitted on all training texts, are each
 chosen by a gate: one by the node's depth and how sure two contexts are, one by the kind and how sure the unit
 so far is. The second adds up what the two sets say, with weights that begin equal in each text and follow the
-gradient of its coding cost after every STEP units, from the text's first byte to its last. A decision of which
-the first layer is sure (odds beyond e ** SURE) has nothing to teach and is charged as the first layer says.
+gradient of its coding cost after every decision, from the text's first to its last. All decisions pass through it
+but those of which both sets say nothing: they cost a bit and teach nothing, whatever the weights.
 
 Nothing bounds the number of contexts, and their hashes get longer with the corpus: a context shares its hash
 with another at most once in 2 ** SPARE_BITS. Counts are kept by context and byte, not by context and node, as a
@@ -25,7 +25,8 @@ node's count is a sum over neighbouring leaves.
    hash. Those ranges sum them and answer with the predictions along each byte's path.
 4. Weights. Ranges of units fit their own by Newton steps, each occurrence taken out of the counts that predict
    it, and Spark adds up solutions weighted by curvature.
-5. Scores. Ranges of units answer each block, and blocks mix, text by text, many side by side.
+5. Scores. Ranges of units mix the first layer and answer each block, PASSES parts of the blocks one after the other,
+   so that few answers are on disk at once. Blocks mix the second layer, decision by decision, many texts side by side.
 
 The numbers of ranges grow with the corpus; no task holds a whole table, and neither does the driver, which sees
 256 byte counts, KINDS means and the sums for the weights.
@@ -39,11 +40,13 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
+from math import exp
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepared
@@ -54,7 +57,6 @@ END = 255
 BACK = (1, 3, 5)
 CONTEXTS = len(BACK) + 1
 UNIT = 64
-STEP = 16
 KINDS, PAIRS, ROUNDS = 16, 64, 5
 #: Where a unit stands: after a unit that ends in a letter, in a comma or the like, or a sentence; at a line's start.
 STATES = 4
@@ -63,20 +65,23 @@ DEPTHS = 6
 GATES = 72  # of either set: DEPTHS * 4 * 3, and KINDS * 4 places at most
 LAST_GATES = 4
 SCALE = np.float32(0.25)  # of predictions in whole numbers
-SURE = 2.0
 FINE = np.float32(0.25)  # of the first layer's predictions in whole numbers
-RATE = np.float32(0.003)
+RATE = 0.003
 FIRST = 0.5
 SPARE_BITS = 12
-COST_STEPS = 256  # of a nat, in which ranges tell blocks the cost of sure decisions
 ROWS = 1  # of blocks or ranges that a worker gets at once
-CHUNK_BYTES = 1 << 20  # text whose decisions are in memory at once, one document at least
+PASSES = 3  # parts of the blocks that are answered one after the other
+CHUNK = 1 << 20  # decisions that are put in order at once
+SLAB = 1 << 17  # decisions that are looked up at once
+FEW = 8  # lanes that are mixed one by one
+MOST = 80  # nats that a decision costs at most
 
 _RNG = np.random.default_rng(5)
 _SALT = _RNG.integers(1, 2**63, CONTEXTS, dtype=np.uint64)
 #: By kind and state; then those of units that go on in the middle of a long word.
 _KIND = _RNG.integers(1, 2**63, 2 * MORE, dtype=np.uint64)
 _ODDS = np.float32(0.1)
+_ONE = np.float32(1)
 
 
 def with_ends(t: Texts) -> Texts:
@@ -402,17 +407,15 @@ class Units:
         return out
 
     def mixed(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first layer: for each unit the cost of its sure decisions and the number of the others; the others' two predictions."""
+        """The first layer: for each unit the cost of the decisions of which it says nothing and the number of the others; the others' two predictions."""
         keys, number = codes(self.decisions(self.odds))
         x, gate = opened(keys)
         z = np.stack([whole_numbers(np.einsum("ij,ij->i", w[g], x), FINE) for w, g in zip(weights, gate, strict=True)], axis=1)
-        both = z.astype(np.int16).sum(axis=1)
-        known = np.abs(both) > 2 * SURE / FINE
-        cost = np.where(known, np.log1p(np.exp(np.minimum(both * (-FINE / 2), 12))), 0)
         if not self.u.n:
-            return cost.astype(np.float32), known.astype(np.int64), z
-        left = ~known[number]
-        return np.add.reduceat(cost[number], self.unit_at[:-1]).astype(np.float32), np.add.reduceat(left, self.unit_at[:-1], dtype=np.int64), z[number[left]]
+            return np.empty(0), np.empty(0, np.int64), z
+        left = z.any(axis=1)[number]
+        many = np.add.reduceat(left, self.unit_at[:-1], dtype=np.int64)
+        return (np.diff(self.unit_at) - many) * np.log(2), many, z[number[left]]
 
 
 def opened(keys: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -465,12 +468,12 @@ def joined(sums: np.ndarray, pull: float = 20.0) -> np.ndarray:
 
 
 _BOTH = np.arange(1 << 16, dtype=np.uint16).view(np.int8).reshape(-1, 2)
-_BOTH_GATE = np.searchsorted([2, 5, 10], np.abs(_BOTH.astype(np.int16).sum(axis=1)), side="right")
-_BOTH_ODDS = np.ascontiguousarray(_BOTH.T.astype(np.float32) * FINE)
+_BOTH_GATE = np.searchsorted([2, 5, 10], np.abs(_BOTH.astype(np.int16).sum(axis=1)), side="right").astype(np.uint8)
+_BOTH_ODDS = np.ascontiguousarray(_BOTH.T * float(FINE))
 
 
 class Answers:
-    """What a block knows of its entries: the cost of sure decisions, where the others begin, their predictions.
+    """What a block knows of its entries: the cost that is sure whatever the weights, where the decisions to be mixed begin, their predictions.
 
     A decision's two predictions are one number of 16 bits in z, the column of x and the place in gate that hold
     their values and the second layer's gate.
@@ -487,47 +490,80 @@ def score(c: Cut, a: Answers, kind_bits: np.ndarray) -> np.ndarray:
     """Bits of each text (with its end and its kind)."""
     many = np.diff(c.before)
     doc = np.repeat(np.arange(len(many)), many)
-    bits = np.bincount(doc, weights=a.sure[c.entry], minlength=len(many)) / np.log(2) + kind_bits
-    some = np.bincount(doc, weights=np.diff(a.at)[c.entry], minlength=len(many))
-    order = np.argsort(-many, kind="stable")
-    share = np.cumsum(some[order]) - some[order]
-    for docs in np.split(order, np.flatnonzero(np.diff(share // CHUNK_BYTES)) + 1) if len(order) else []:
-        bits[docs] += _second_layer(c, a, docs)
-    return bits
-
-
-def _second_layer(c: Cut, a: Answers, docs: np.ndarray) -> np.ndarray:
-    """Bits of the unsure decisions of texts `docs`, which come longest first."""
-    many = np.diff(c.before)[docs]
-    at, ends = ragged(c.before[docs], many)
-    lane = np.repeat(np.arange(len(docs), dtype=np.int32), many)
-    step = (np.arange(len(at)) - np.repeat(ends[:-1], many)) // STEP
-    order = np.argsort(step.astype(np.int32), kind="stable")
-    e, lane, step = c.entry[at[order]], lane[order], step[order]
-    rows, begin = ragged(a.at[e], a.at[e + 1] - a.at[e])
-    number = a.z.take(rows, mode="clip").astype(np.int64)
-    x = a.x.take(number, axis=1, mode="clip")
-    cell = np.repeat(lane.astype(np.int64) * LAST_GATES, np.diff(begin))
-    cell += a.gate.take(number, mode="clip")
-    z = np.empty(len(rows), dtype=np.float32)
-    w = np.full((2, len(docs) * LAST_GATES), FIRST, dtype=np.float32)
-    head = np.flatnonzero(np.diff(step, prepend=-1))
-    live = np.maximum.accumulate(np.concatenate([np.maximum.reduceat(lane, head), [0]])[:-1][::-1])[::-1] + 1 if len(head) else head
-    edge = begin[np.concatenate([head, [len(step)]])].tolist()
-    for s, e, m in zip(edge[:-1], edge[1:], (live * LAST_GATES).tolist(), strict=True):
-        k, (u, v) = cell[s:e], x[:, s:e]
-        q = w[0].take(k, mode="clip")
-        q *= u
-        more = w[1].take(k, mode="clip")
-        more *= v
-        q += more
-        np.clip(q, -30, 30, out=q)
-        z[s:e] = q
-        err = RATE / (1 + np.exp(q))
-        w[0, :m] += np.bincount(k, weights=err * u, minlength=m)
-        w[1, :m] += np.bincount(k, weights=err * v, minlength=m)
-    cost = np.concatenate([[0], np.cumsum(np.log1p(np.exp(-z)), dtype=np.float64)])
-    return np.bincount(lane, weights=np.diff(cost[begin]), minlength=len(docs)) / np.log(2)
+    return (np.bincount(doc, weights=a.sure[c.entry], minlength=len(many)) + _second_layer(c, a)) / np.log(2) + kind_bits
+
+
+def _lanes(c: Cut, a: Answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions of all texts by lane: a text's decisions with one gate, in their order, as only these move that gate's weights.
+
+    Each lane's size, where it starts, and the decisions' numbers. Lanes of one gate follow each other, as texts do.
+    """
+    n = len(c.before) - 1
+    doc = np.repeat(np.arange(n), np.diff(c.before))
+    many = np.diff(a.at)
+    gate = a.gate.take(a.z)
+    of_entry = np.bincount(np.repeat(np.arange(len(many)) * LAST_GATES, many) + gate, minlength=len(many) * LAST_GATES).reshape(-1, LAST_GATES)
+    z = np.concatenate([a.z[gate == g] for g in range(LAST_GATES)])
+    begin = (np.cumsum(of_entry.T) - of_entry.T.ravel()).reshape(LAST_GATES, -1)
+    out, sizes, done = [np.empty(0, np.uint16)], [], np.cumsum(many[c.entry])
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(done // CHUNK)) + 1, [len(doc)]])
+    for g in range(LAST_GATES):
+        of_gate = np.ascontiguousarray(of_entry[:, g])
+        sizes.append(np.bincount(doc, weights=of_gate[c.entry], minlength=n).astype(np.int64))
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            entry = c.entry[s:e]
+            out.append(z.take(ragged(begin[g][entry], of_gate[entry])[0]))
+    out, size = np.concatenate(out), np.concatenate(sizes)
+    start = np.cumsum(size) - size
+    return size, start, out
+
+
+def _second_layer(c: Cut, a: Answers) -> np.ndarray:
+    """The cost of each text's mixed decisions. The weights move after every one, before the next is predicted."""
+    size, start, numbers = _lanes(c, a)
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    # both predictions and weights are scaled, for the rate to be 1
+    unit, cost = np.sqrt(RATE), np.zeros(len(size))
+    w = np.full((2, len(size)), FIRST / unit, dtype=np.float32)
+    t, m = 0, int(np.count_nonzero(size))
+    while m > FEW:  # the m longest lanes side by side, from their t-th decisions on
+        until = min(t + max(SLAB // m, 1), max(int(size[m - 1 - m // 4]), t + 1))
+        number = numbers.take(start[:m] + np.arange(t, until)[:, None], mode="clip")
+        left = int(np.searchsorted(-size, -until, side="right"))  # lanes that go on; the others are filled up
+        over = np.arange(t, until)[:, None] >= size[left:m]
+        number[:, left:][over] = 0
+        x = np.empty((until - t, 2, m), dtype=np.float32)
+        np.multiply(number.view(np.int8).reshape(-1, m, 2).transpose(0, 2, 1), np.float32(-FINE * unit), out=x)
+        odds, v, part = np.empty(number.shape, dtype=np.float32), np.ascontiguousarray(w[:, :m]), np.empty((2, m), dtype=np.float32)
+        first, second, most = part[0], part[1], np.float32(MOST)
+        for u, e in zip(x, odds, strict=True):
+            np.multiply(v, u, out=part)
+            np.add(first, second, out=first)
+            np.minimum(first, most, out=first)
+            np.exp(first, out=first)
+            np.add(first, _ONE, out=e)
+            np.divide(first, e, out=first)
+            np.multiply(u, first, out=u)
+            np.subtract(v, u, out=v)
+        odds[:, left:][over] = 1
+        cost[:m] += np.log(odds, out=odds).sum(axis=0, dtype=np.float64)
+        w[:, :m] = v
+        t, m = until, int(np.searchsorted(-size, -until))
+    for i in range(m):
+        w0, w1 = (w[:, i] * unit).tolist()
+        for s in range(t, int(size[i]), SLAB):
+            number, z = numbers[start[i] + s : start[i] + min(s + SLAB, int(size[i]))], []
+            for u, v in zip(a.x[0].take(number).tolist(), a.x[1].take(number).tolist(), strict=True):
+                q = max(w0 * u + w1 * v, -MOST)
+                z.append(q)
+                err = RATE / (1 + exp(min(q, MOST)))
+                w0 += err * u
+                w1 += err * v
+            cost[i] += np.log1p(np.exp(-np.array(z))).sum()
+    out = np.empty(len(size))
+    out[order] = cost
+    return out.reshape(LAST_GATES, -1).sum(axis=0)
 
 
 # --- ranges of contexts ------------------------------------------------------------------------------------
@@ -702,19 +738,27 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
         sums[r.i] = r.v
     weights = joined(sums.reshape(2, GATES, CONTEXTS, CONTEXTS + 1))
 
-    def answer_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mix_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                idx, data, asks, found = (batch.column(k)[i].as_py() for k in range(4))
-                u = Units(data, tree, bits).answered(*read_answers(found))
+                u = Units(batch.column(1)[i].as_py(), tree, bits).answered(*read_answers(batch.column(3)[i].as_py()))
                 sure, many, z = u.mixed(weights)
-                at = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
                 z[:, 1] -= z[:, 0]
-                z, cost = z.view(np.uint16).ravel(), np.ceil(sure.astype(np.float64) * COST_STEPS).astype(np.int64)  # never too cheap
+                z = z.view(np.uint8)
+                data = pack(np.rint(sure / np.log(2)).astype(np.int64), many, u.of_word, z[:, 0].copy(), z[:, 1].copy())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array([data], pa.binary()), batch.column(2)[i : i + 1]], ["idx", "data", "asks"])
+
+    def answer_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                idx, data, asks = (batch.column(k)[i].as_py() for k in range(3))
+                even, many, of_word, low, high = unpack(data) if asks else [np.empty(0, np.uint8)] * 5
+                many = many.astype(np.int64)
+                at = np.cumsum(many) - many
                 for ask in asks:
                     e, long = (x.astype(np.int64) for x in unpack(ask["data"]))
-                    found = z[ragged(at[e], many[e])[0]]
-                    yield batch_of(ASKED, [ask["who"]], [idx], [pack(cost[e], many[e], u.of_word[e], (found & 255).astype(np.uint8), (found >> 8).astype(np.uint8), long)])
+                    rows = ragged(at[e], many[e])[0]
+                    yield batch_of(ASKED, [ask["who"]], [idx], [pack(even[e], many[e], of_word[e], low[rows], high[rows], long)])
 
     log_total = float(np.log10(tokens + distinct + 1))
 
@@ -724,10 +768,11 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 c, held, kind = _block(batch, i, means_of_kinds)
                 n = len(held)
                 pieces = [unpack(p["data"]) for p in sorted(batch.column("found")[i].as_py() or [], key=lambda p: p["idx"])]
-                cost, many, count, low, high, long = (np.concatenate([p[k] for p in pieces]) if pieces else np.empty(0, np.uint64) for k in range(6))
+                even, many, count, low, high, long = (np.concatenate([p[k] for p in pieces]) if pieces else np.empty(0, np.uint64) for k in range(6))
                 low, high = low.astype(np.uint8), high.astype(np.uint8)
                 z = np.stack([low, low + high], axis=1).view(np.int8)
-                a = Answers(cost.astype(np.float64) / COST_STEPS, many.astype(np.int64), z)
+                a = Answers(even * np.log(2), many.astype(np.int64), z)
+                del pieces, low, high, z
                 u = Texts(*_taken(c.u, c.unit_order[c.entry_unit]))
                 word = are_words(u, c.entry_kind)[c.entry]
                 doc = np.concatenate([np.repeat(np.arange(n), np.diff(c.before))[word], c.long_doc])
@@ -741,11 +786,22 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 cols = [pa.array(batch.column("ids")[i].as_py(), pa.int64()), pa.array(held), pa.array(tokens_of), pa.array(in_training), pa.array(base), pa.array(-paid * np.log10(2)), pa.array(paid / (sizes + 1))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
-    back = known.select("idx", "data", "asks", "found").mapInArrow(answer_blocks, ASKED)
-    back = back.groupBy(F.col("who").alias("block")).agg(F.collect_list(F.struct("idx", "data")).alias("found"))
-    full = written.select("block", "ids", "held", "data", "sizes", "pairs").join(back, "block", "left").drop("block")
-    out = full.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double")
-    out = scratch.write(out, "scores")
-    del written, known, back, full
-    scratch.drop("texts", "known")
+    first = scratch.write(known.select("idx", "data", "asks", "found").mapInArrow(mix_first, "idx int, data binary, asks array<struct<who:bigint,data:binary>>"), "first")
+    del known
+    scratch.drop("known")
+    parts = []
+    for k in range(PASSES):
+
+        def here(block: Column, k: int = k) -> Column:
+            return F.pmod(F.xxhash64(block), F.lit(PASSES)) == k
+
+        back = first.select("idx", "data", F.filter("asks", lambda x: here(x.who)).alias("asks")).mapInArrow(answer_blocks, ASKED)
+        back = back.groupBy(F.col("who").alias("block")).agg(F.collect_list(F.struct("idx", "data")).alias("found"))
+        full = written.filter(here(F.col("block"))).select("block", "ids", "held", "data", "sizes", "pairs").join(back, "block", "left").drop("block")
+        parts.append(scratch.write(full.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double"), f"scores{k}"))
+        del back, full
+        scratch.forget()
+    out = reduce(DataFrame.union, parts)
+    del written, first
+    scratch.drop("texts", "first")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")
