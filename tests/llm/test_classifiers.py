@@ -1,6 +1,9 @@
 """op1, op2 and op9: statistics against plain loops, predictions against held-out labels."""
 
+import pickle
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -63,6 +66,19 @@ def test_backoff_order():
     assert m.predict(["12 34"])[0] == ["und"]
 
 
+def test_tables_are_small():
+    """A worker's model takes no array for each entry."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijkl", k=6)) for _ in range(3000)]
+    entries = len(set(words)) + sum(len({g for w in words for g in langid.ngrams(w, n)}) for n in range(1, 6))
+    raw = pickle.dumps(langid.Model.fit([(" ".join(words), x) for x in "xyz"]))
+    tracemalloc.start()
+    m = pickle.loads(raw)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 180 * entries and m.languages == ["x", "y", "z"]
+
+
 def auc(y, s):
     order = np.argsort(np.argsort(s, kind="stable"), kind="stable") + 1
     n1 = y.sum()

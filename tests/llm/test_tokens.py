@@ -1,14 +1,16 @@
 """op5 and op8: against the library itself."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from tidemark.llm import bpe, tokens  # noqa: E402
+from tidemark.llm import bpe, exchange, text, tokens  # noqa: E402
 from tidemark.llm.text import Scratch  # noqa: E402
 
 TEXTS = ["", "a<|endoftext|>b <|startoftext|>'s", "ΑΣ Σίσυφος İstanbul é ​ x　y 中文 ①½ x²  \n\n  y\x1cz\x85q", "it's we'll 'RE  'Ll ... ''s", "ȩ́́ ﬁ Å ퟿ \U0001f600 ٠٣  a b", " lead and trail  ", "\0\0 nul\0s"]
@@ -173,3 +175,29 @@ def test_digests_and_round_trip(odd, empty, odd_rows, byte, spark):
     back = bpe.decode_ids(both, str(byte)).filter("doc_id = 6").first().text
     assert back == odd_rows[8][1]
     assert bpe.encode_digests(empty, str(byte), Scratch(spark, "t")).count() == 0
+
+
+def test_numbers_are_packed_a_few_at_a_time():
+    """The bits of a large block's numbers aren't spread out all at once: that took 80 bytes a number and more."""
+    x = np.random.default_rng(1).integers(0, 1 << 16, 500_003)
+    x[:1000] = np.arange(1000)
+    tracemalloc.start()
+    size, bits = exchange.skewed(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * len(x)
+    assert (exchange.unskewed(size, bits) == x).all()
+
+
+def test_workers_give_memory_back(spark):
+    """A worker that is used again doesn't hold what its last task has freed."""
+
+    def held(b):
+        at = [x for x in open("/proc/self/status") if x.startswith("RssAnon")]
+        some = [np.ones(1250) for _ in range(30_000)]  # pieces that malloc keeps: the last one stays
+        np.last_piece = some[-1]
+        return pa.RecordBatch.from_arrays([pa.array([int(at[0].split()[1]) // 1024] * b.num_rows)], ["mb"])
+
+    docs = spark.createDataFrame([("x",)], "text string").repartition(1)
+    first, *others = [text.map_slices(docs, held, "mb bigint").collect()[0].mb for _ in range(6)]
+    assert max(others) < first + 150

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepared
 from .exchange import ASKED, batch_of, blocks, by_range, numbered, pack, ragged, ranges_for, skewed, unpack, unskewed
-from .text import BATCH_ROWS, BYTE_CHARS, IS_WORD, Scratch, Texts, byte_level, mix, slices, texts_of
+from .text import BATCH_ROWS, BYTE_CHARS, IS_WORD, Scratch, Texts, byte_level, mix, slices, texts_of, tidied
 
 #: Distinct pieces that a worker keeps encoded; beyond that it starts a new table.
 TABLE_LIMIT = 400_000
@@ -271,7 +271,7 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
             data = [pack(np.diff(c.before), *skewed(c.number), c.place, np.concatenate(size), np.concatenate(h)), pack(np.diff(c.words.offsets), c.words.data, c.kind, c.place)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((["places", "words"], [task + n] * 2, [b.column(0).to_pylist(), None], data), kinds, strict=True)], ["part", "block", "ids", "data"])
 
-    written = docs.select("doc_id", "text").mapInArrow(split, "part string, block bigint, ids array<bigint>, data binary")
+    written = docs.select("doc_id", "text").mapInArrow(tidied(split), "part string, block bigint, ids array<bigint>, data binary")
     places, words = scratch.write_parts(written, "split", "part", ["places", "words"])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
 
@@ -302,11 +302,11 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
                 for s, e in zip(*(x.tolist() for x in _runs(part)), strict=True):
                     yield made(table(tokenizer), doc_ids.slice(s, e - s), size[s:e], h[s:e], *all_places.ids(s, e))
 
-    found = scratch.write(by_range(words.select("block", "data").mapInArrow(ask, ASKED), answer, ASKED), "answers")
+    found = scratch.write(by_range(words.select("block", "data").mapInArrow(tidied(ask), ASKED), answer, ASKED), "answers")
     del words, written
     scratch.drop("split/part=words")
     found = found.groupBy(F.col("who").alias("block")).agg(F.collect_list(F.struct("idx", "data")).alias("found"))
-    return places.join(found, "block", "left").select("ids", "data", "found").mapInArrow(join, schema)
+    return places.join(found, "block", "left").select("ids", "data", "found").mapInArrow(tidied(join), schema)
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, scratch: Scratch) -> DataFrame:

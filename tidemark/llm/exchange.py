@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from .text import slices
+from .text import slices, tidied
 
 BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 8 << 20  # text for each range
@@ -74,6 +74,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+#: Numbers whose bits are spread out at a time; eight of them fill whole bytes.
+_SKEWED_ROWS = 1 << 16
+
+
 def skewed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whole numbers of which small ones are frequent, as two columns of bytes: each one's bits are counted, and kept
     but for the first, those of equal length together."""
@@ -82,7 +86,8 @@ def skewed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = [np.empty(0, np.uint8)]
     for k in range(2, int(size.max()) + 1 if len(v) else 0):
         low = v[size == k]
-        bits.append(np.packbits((low[:, None] >> np.arange(k - 1)).astype(np.uint8) & 1))
+        for i in range(0, len(low), _SKEWED_ROWS):
+            bits.append(np.packbits((low[i : i + _SKEWED_ROWS, None] >> np.arange(k - 1)).astype(np.uint8) & 1))
     return size, np.concatenate(bits)
 
 
@@ -136,7 +141,7 @@ def by_range(asked: DataFrame, answer: Callable[[int, list[tuple[int, bytes]]],
         if held:
             yield from answer(now, held)
 
-    return asked.repartition("idx").sortWithinPartitions("idx", "who").mapInArrow(run, schema)
+    return asked.repartition("idx").sortWithinPartitions("idx", "who").mapInArrow(tidied(run), schema)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

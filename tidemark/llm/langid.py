@@ -39,19 +39,19 @@ def ngrams(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
-def log_posterior(counts: dict[str, np.ndarray], total: np.ndarray, prior: float = 0.5) -> dict[str, np.ndarray]:
-    """Per entry, log P(language | entry) with equal priors and additive smoothing."""
+def log_posterior(counts: dict[str, np.ndarray], total: np.ndarray, prior: float = 0.5) -> tuple[dict[str, int], np.ndarray]:
+    """Each entry's row, and there log P(language | entry) with equal priors and additive smoothing."""
     if not counts:
-        return {}
+        return {}, np.empty((0, len(total)), np.float32)
     keys = list(counts)
     c = np.array([counts[k] for k in keys], dtype=np.float64)
     log_p = np.log(c + prior) - np.log(total + prior * (len(keys) + 1))
     log_p -= np.logaddexp.reduce(log_p, axis=1, keepdims=True)
-    return dict(zip(keys, log_p.astype(np.float32), strict=True))
+    return {k: i for i, k in enumerate(keys)}, log_p.astype(np.float32)
 
 
 class Model:
-    def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], tables: list[tuple[dict[str, int], np.ndarray]]):
         self.languages, self.tables = languages, tables  # tables[0]: words; tables[n]: n-grams
         self.reset()
 
@@ -89,12 +89,14 @@ class Model:
         return cls(languages, tables)
 
     def word(self, w: str) -> np.ndarray:
-        if (v := self.tables[0].get(w)) is not None:
-            return v
+        at, rows = self.tables[0]
+        if (i := at.get(w)) is not None:
+            return rows[i]
         for n in range(LONGEST, 0, -1):
-            known = [v for g in ngrams(w, n) if (v := self.tables[n].get(g)) is not None]
+            at, rows = self.tables[n]
+            known = [i for g in ngrams(w, n) if (i := at.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return rows[known].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
     def learn(self, tokens: set[str]) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepared
 from .components import connected
-from .text import Scratch, Texts, fresh, map_slices, mix, texts_of
+from .text import Scratch, Texts, fresh, map_slices, mix, texts_of, tidied
 
 WORDS, HASHES, BANDS = 5, 128, 32
 ROWS = HASHES // BANDS
@@ -115,7 +115,7 @@ def bands(sigs: DataFrame) -> DataFrame:
                 k = mix(k * _K + s[:, :, r])
             yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["bucket", "rep"])
 
-    return sigs.select("rep", "sig").mapInArrow(run, "bucket bigint, rep bigint")
+    return sigs.select("rep", "sig").mapInArrow(tidied(run), "bucket bigint, rep bigint")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("a", "b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").mapInArrow(run, "a bigint, b bigint")
+    return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def lows(texts: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def cross_pairs(open_rows: DataFrame, sigs: DataFrame, texts: DataFrame) -> Data
     dealt = dealt.select("bucket", "rep", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "comp", "block").join(known, "rep")
     dealt = dealt.select("bucket", "bi", "bj", "rep", "comp", "block", "sig", "low").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    return dealt.mapInArrow(_pairs_of_groups, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(tidied(_pairs_of_groups), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepared
-from .text import Scratch, Texts, fresh, map_slices, texts_of
+from .text import Scratch, Texts, fresh, map_slices, texts_of, tidied
 
 WIDTH = 200
 GRAM = 40
@@ -316,10 +316,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     asked = sources.join(groups, "ah", "left").withColumn("big", F.coalesce("big", F.lit(False)))
     asked = asked.groupBy("d", "h").agg(F.collect_list(F.struct("ah", "uh", "copies", "lo", "n", "big")).alias("asked"))
     cut = docs.join(asked.hint("shuffle_hash"), ["d", "h"]).select(F.coalesce("text", F.lit("")).alias("text"), "asked")
-    cut = scratch.write(cut.mapInArrow(cut_out, "ah bigint, uh bigint, copies int, n int, unit binary, big boolean"), "cut")
+    cut = scratch.write(cut.mapInArrow(tidied(cut_out), "ah bigint, uh bigint, copies int, n int, unit binary, big boolean"), "cut")
     dealt = cut.filter("NOT big").select("ah", "uh", "copies", "n", "unit").repartition("ah").sortWithinPartitions("ah")
-    by_tree = dealt.mapInArrow(sort_units, _SPANS)
-    starts = cut.filter("big").dropDuplicates(["ah", "uh"]).mapInArrow(prefixes, "ah bigint, uh bigint, copies int, off int, p bigint")
+    by_tree = dealt.mapInArrow(tidied(sort_units), _SPANS)
+    starts = cut.filter("big").dropDuplicates(["ah", "uh"]).mapInArrow(tidied(prefixes), "ah bigint, uh bigint, copies int, off int, p bigint")
     common = starts.groupBy("ah", "p").agg(F.sum("copies").alias("total")).filter(F.col("total") > 1).select("ah", "p")
     hit = starts.join(common, ["ah", "p"])
     by_prefix = hit.groupBy("ah", "uh").agg(F.collect_list(F.struct(F.col("off").alias("s"), (F.col("off") + WIDTH).alias("e"))).alias("spans"))
@@ -372,7 +372,7 @@ def digests(docs: DataFrame, scratch: Scratch) -> DataFrame:
             cols = [b.column(0), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([n - len(r) for r, n, _ in rows], pa.int64()), pa.array([len(s) for _, _, s in rows], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r, _, _ in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = _with_spans(docs.select("doc_id", "text"), scratch).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = _with_spans(docs.select("doc_id", "text"), scratch).mapInArrow(tidied(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return scratch.finish(out)
 
 
@@ -390,5 +390,5 @@ def remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
             new = [None if not texts[i].is_valid else _rest(texts[i].as_py(), spans[i])[0].decode("utf-8", "ignore") for i in range(b.num_rows)]
             yield b.set_column(at, b.schema.field(at), pa.array(new, texts.type)).select(b.schema.names[:-1])
 
-    out = _with_spans(docs, scratch).mapInArrow(run, docs.schema)
+    out = _with_spans(docs, scratch).mapInArrow(tidied(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

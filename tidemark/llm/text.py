@@ -7,6 +7,7 @@ loop. All of them accept nulls, which count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -146,6 +147,26 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = min(end, n)
 
 
+def give_back() -> None:
+    """Gives memory that this worker has freed back to the machine, and lets Arrow take its own where numpy does, so that
+    what one frees the other can take."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, in a worker that gives memory back before and after. Workers are used again by all stages of
+    a session, and would else hold what the largest of their tasks took."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what a task holds besides, as a model, is only freed after it
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow of `fn` over slices of documents; memory is bounded by a slice, not by a partition."""
     prepared(df.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -156,7 +177,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 if (out := fn(part)) is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def held_out(doc_id: Column, parts: int, remainder: int) -> Column:
