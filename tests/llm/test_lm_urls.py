@@ -196,6 +196,24 @@ def test_weights_move_after_every_decision(monkeypatch):
         assert np.allclose(lm.score(c, a, np.zeros(5)), want / math.log(2), rtol=1e-5)
 
 
+def test_a_step_takes_six_array_operations(monkeypatch):
+    """The second layer's steps are many and their arrays small, so that the number of operations is what they cost."""
+    text = "the cat sat on the mat, É. A dog ate " * 100
+    m = Memory([["the dog sat. "] * 20, [text] * 4], [[False] * 20, [True] * 4])
+    c, a = m.cuts[1], m.answers(1)
+    steps, done = lm._lanes(c, a)[0].max(), []
+
+    class Counting:
+        def __getattr__(self, name):
+            f = getattr(np, name)
+            return (lambda *x, **y: (done.append(name), f(*x, **y))[1]) if isinstance(f, np.ufunc) else f
+
+    monkeypatch.setattr(lm, "FEW", 0)
+    monkeypatch.setattr(lm, "np", Counting())
+    lm._second_layer(c, a)
+    assert 6 * steps <= len(done) < 7 * steps
+
+
 def test_held_out_texts_cost_less_than_the_base_says(spark):
     import os
 

@@ -45,13 +45,14 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepared
 from .exchange import ASKED, batch_of, blocks, by_range, codes, numbered, pack, ragged, ranges_for, summed, unpack
-from .text import BATCH_ROWS, IS_WORD, LOWER, Scratch, Texts, held_out, mix, powers, texts_of
+from .text import BATCH_ROWS, IS_WORD, LOWER, Scratch, Texts, held_out, mix, powers, texts_of, tidied
 
 END = 255
 BACK = (1, 3, 5)
@@ -496,28 +497,41 @@ def score(c: Cut, a: Answers, kind_bits: np.ndarray) -> np.ndarray:
 def _lanes(c: Cut, a: Answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The decisions of all texts by lane: a text's decisions with one gate, in their order, as only these move that gate's weights.
 
-    Each lane's size, where it starts, and the decisions' numbers. Lanes of one gate follow each other, as texts do.
+    Each lane's size, where it starts, and the decisions' numbers, with SLAB more at the end. Lanes of one gate follow
+    each other, as texts do.
     """
     n = len(c.before) - 1
     doc = np.repeat(np.arange(n), np.diff(c.before))
     many = np.diff(a.at)
     gate = a.gate.take(a.z)
-    of_entry = np.bincount(np.repeat(np.arange(len(many)) * LAST_GATES, many) + gate, minlength=len(many) * LAST_GATES).reshape(-1, LAST_GATES)
+    of_entry = np.empty((len(many), LAST_GATES), dtype=np.int64)
+    edges = _edges(a.at[1:])
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        own = np.repeat(np.arange(e - s) * LAST_GATES, many[s:e])
+        own += gate[a.at[s] : a.at[e]]
+        of_entry[s:e] = np.bincount(own, minlength=(e - s) * LAST_GATES).reshape(-1, LAST_GATES)
     z = np.concatenate([a.z[gate == g] for g in range(LAST_GATES)])
     begin = (np.cumsum(of_entry.T) - of_entry.T.ravel()).reshape(LAST_GATES, -1)
-    out, sizes, done = [np.empty(0, np.uint16)], [], np.cumsum(many[c.entry])
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(done // CHUNK)) + 1, [len(doc)]])
+    done = np.cumsum(many[c.entry])
+    out, at, sizes, edges = np.zeros((done[-1] if len(done) else 0) + SLAB, dtype=np.uint16), 0, [], _edges(done)
     for g in range(LAST_GATES):
         of_gate = np.ascontiguousarray(of_entry[:, g])
         sizes.append(np.bincount(doc, weights=of_gate[c.entry], minlength=n).astype(np.int64))
         for s, e in zip(edges[:-1], edges[1:], strict=True):
             entry = c.entry[s:e]
-            out.append(z.take(ragged(begin[g][entry], of_gate[entry])[0]))
-    out, size = np.concatenate(out), np.concatenate(sizes)
+            some = z.take(ragged(begin[g][entry], of_gate[entry])[0])
+            out[at : at + len(some)] = some
+            at += len(some)
+    size = np.concatenate(sizes)
     start = np.cumsum(size) - size
     return size, start, out
 
 
+def _edges(done: np.ndarray) -> np.ndarray:
+    """Where rows are cut for some CHUNK decisions to be put in order at once; done: decisions up to the end of each row."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(done // CHUNK)) + 1, [len(done)]]) if len(done) else np.zeros(1, np.int64)
+
+
 def _second_layer(c: Cut, a: Answers) -> np.ndarray:
     """The cost of each text's mixed decisions. The weights move after every one, before the next is predicted."""
     size, start, numbers = _lanes(c, a)
@@ -527,27 +541,30 @@ def _second_layer(c: Cut, a: Answers) -> np.ndarray:
     unit, cost = np.sqrt(RATE), np.zeros(len(size))
     w = np.full((2, len(size)), FIRST / unit, dtype=np.float32)
     t, m = 0, int(np.count_nonzero(size))
+    multiply, add, subtract, tanh = np.multiply, np.add, np.subtract, np.tanh  # small arrays, many calls
     while m > FEW:  # the m longest lanes side by side, from their t-th decisions on
         until = min(t + max(SLAB // m, 1), max(int(size[m - 1 - m // 4]), t + 1))
-        number = numbers.take(start[:m] + np.arange(t, until)[:, None], mode="clip")
+        number = as_strided(numbers, (len(numbers) - until + t + 1, until - t), numbers.strides * 2)[start[:m] + t]
         left = int(np.searchsorted(-size, -until, side="right"))  # lanes that go on; the others are filled up
-        over = np.arange(t, until)[:, None] >= size[left:m]
-        number[:, left:][over] = 0
+        over = np.arange(t, until) >= size[left:m, None]
+        number[left:][over] = 0
         x = np.empty((until - t, 2, m), dtype=np.float32)
-        np.multiply(number.view(np.int8).reshape(-1, m, 2).transpose(0, 2, 1), np.float32(-FINE * unit), out=x)
-        odds, v, part = np.empty(number.shape, dtype=np.float32), np.ascontiguousarray(w[:, :m]), np.empty((2, m), dtype=np.float32)
-        first, second, most = part[0], part[1], np.float32(MOST)
-        for u, e in zip(x, odds, strict=True):
-            np.multiply(v, u, out=part)
-            np.add(first, second, out=first)
-            np.minimum(first, most, out=first)
-            np.exp(first, out=first)
-            np.add(first, _ONE, out=e)
-            np.divide(first, e, out=first)
-            np.multiply(u, first, out=u)
-            np.subtract(v, u, out=v)
-        odds[:, left:][over] = 1
-        cost[:m] += np.log(odds, out=odds).sum(axis=0, dtype=np.float64)
+        np.multiply(number.view(np.int8).reshape(m, -1, 2).transpose(1, 2, 0), np.float32(-FINE * unit / 2), out=x)
+        half, v, part = np.empty((until - t, m), dtype=np.float32), np.ascontiguousarray(w[:, :m]), np.empty((2, m), dtype=np.float32)
+        first, second = part
+        for u, e in zip(x, half, strict=True):  # an error is 1 + tanh(-odds / 2), halved
+            multiply(v, u, part)
+            add(first, second, e)
+            tanh(e, first)
+            add(first, _ONE, first)
+            multiply(u, first, u)
+            subtract(v, u, v)
+        half.T[left:][over] = -MOST
+        np.add(half, half, out=half)
+        np.minimum(half, np.float32(MOST), out=half)
+        np.exp(half, out=half)
+        np.add(half, _ONE, out=half)
+        cost[:m] += np.log(half, out=half).sum(axis=0, dtype=np.float64)
         w[:, :m] = v
         t, m = until, int(np.searchsorted(-size, -until))
     for i in range(m):
@@ -632,7 +649,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
             cols = [pa.array([task + n]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([Cut(t).packed()], pa.binary()), pa.array([np.diff(t.offsets).tolist()], pa.list_(pa.int64())), pa.array([letter_pairs(t).tobytes()], pa.binary()), pa.array([own.tolist()], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["block", "ids", "held", "data", "sizes", "pairs", "counts"])
 
-    return docs.mapInArrow(run, "block bigint, ids array<bigint>, held array<boolean>, data binary, sizes array<bigint>, pairs binary, counts array<bigint>")
+    return docs.mapInArrow(tidied(run), "block bigint, ids array<bigint>, held array<boolean>, data binary, sizes array<bigint>, pairs binary, counts array<bigint>")
 
 
 def find_kinds(written: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -658,7 +675,7 @@ def find_kinds(written: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield batch_of("i int, v double", np.arange(total.size, dtype=np.int32), total.ravel())
 
         sums = np.zeros(KINDS * (PAIRS + 1))
-        for r in written.select("held", "pairs").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        for r in written.select("held", "pairs").mapInArrow(tidied(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             sums[r.i] = r.v
         sums = sums.reshape(KINDS, PAIRS + 1)
         count = sums[:, -1]
@@ -703,7 +720,7 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
         cols = [pa.array([idx], pa.int32()), pa.array([data], pa.binary()), pa.array([[{"who": w, "data": d} for w, d in back]], pa.list_(pa.struct([("who", pa.int64()), ("data", pa.binary())]))), pa.array([distinct], pa.int64()), pa.array([occurrences], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, ["idx", "data", "asks", "distinct", "occurrences"])
 
-    units = scratch.write(by_range(written.select("block", "held", "data", "pairs").mapInArrow(ask_units, ASKED), merge, "idx int, data binary, asks array<struct<who:bigint,data:binary>>, distinct bigint, occurrences bigint"), "units")
+    units = scratch.write(by_range(written.select("block", "held", "data", "pairs").mapInArrow(tidied(ask_units), ASKED), merge, "idx int, data binary, asks array<struct<who:bigint,data:binary>>, distinct bigint, occurrences bigint"), "units")
     total = units.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n")).first()
     distinct, tokens = total.v + (ends > 0), total.n + ends
 
@@ -719,7 +736,7 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield batch_of(ASKED, [who], [idx], [data])
 
     scratch.forget()
-    pairs = scratch.write(by_range(units.select("idx", "data").mapInArrow(ask_pairs, ASKED), answer, ASKED), "pairs")
+    pairs = scratch.write(by_range(units.select("idx", "data").mapInArrow(tidied(ask_pairs), ASKED), answer, ASKED), "pairs")
     scratch.forget()
     found = pairs.groupBy(F.col("who").cast("int").alias("idx")).agg(F.collect_list(F.struct("idx", "data")).alias("found"))
     known = scratch.write(units.select("idx", "data", "asks").join(found, "idx", "left"), "known")
@@ -734,7 +751,7 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
         yield batch_of("i int, v double", np.arange(total.size, dtype=np.int32), total.ravel())
 
     sums = np.zeros(2 * GATES * CONTEXTS * (CONTEXTS + 1))
-    for r in known.select("data", "found").mapInArrow(fit, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for r in known.select("data", "found").mapInArrow(tidied(fit), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         sums[r.i] = r.v
     weights = joined(sums.reshape(2, GATES, CONTEXTS, CONTEXTS + 1))
 
@@ -786,7 +803,7 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 cols = [pa.array(batch.column("ids")[i].as_py(), pa.int64()), pa.array(held), pa.array(tokens_of), pa.array(in_training), pa.array(base), pa.array(-paid * np.log10(2)), pa.array(paid / (sizes + 1))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
-    first = scratch.write(known.select("idx", "data", "asks", "found").mapInArrow(mix_first, "idx int, data binary, asks array<struct<who:bigint,data:binary>>"), "first")
+    first = scratch.write(known.select("idx", "data", "asks", "found").mapInArrow(tidied(mix_first), "idx int, data binary, asks array<struct<who:bigint,data:binary>>"), "first")
     del known
     scratch.drop("known")
     parts = []
@@ -795,10 +812,10 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
         def here(block: Column, k: int = k) -> Column:
             return F.pmod(F.xxhash64(block), F.lit(PASSES)) == k
 
-        back = first.select("idx", "data", F.filter("asks", lambda x: here(x.who)).alias("asks")).mapInArrow(answer_blocks, ASKED)
+        back = first.select("idx", "data", F.filter("asks", lambda x: here(x.who)).alias("asks")).mapInArrow(tidied(answer_blocks), ASKED)
         back = back.groupBy(F.col("who").alias("block")).agg(F.collect_list(F.struct("idx", "data")).alias("found"))
         full = written.filter(here(F.col("block"))).select("block", "ids", "held", "data", "sizes", "pairs").join(back, "block", "left").drop("block")
-        parts.append(scratch.write(full.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double"), f"scores{k}"))
+        parts.append(scratch.write(full.mapInArrow(tidied(run), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double"), f"scores{k}"))
         del back, full
         scratch.forget()
     out = reduce(DataFrame.union, parts)

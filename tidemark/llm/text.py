@@ -151,6 +151,8 @@ def give_back() -> None:
     """Gives memory that this worker has freed back to the machine, and lets Arrow take its own where numpy does, so that
     what one frees the other can take."""
     pa.set_memory_pool(pa.system_memory_pool())
+    if len(_powers.get("up", ())) > 2 * SLICE_BYTES:
+        _powers.clear()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
         trim(0)
 
