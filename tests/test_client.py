@@ -74,3 +74,16 @@ def test_a_new_topic_has_nothing_of_a_deleted_one(spark, tmp_path):
     assert log.create_topic("b") == 2 and log.high_watermark("b") == 0
     assert log.read("b").count() == 0
     assert log.create_topic("a") == 3 and not log.state()["groups"]
+
+
+def test_a_read_ends_at_its_budget_only(spark, tmp_path):
+    """Over 256 segments, which one scan of a broker has at most."""
+    log = Log(spark, str(tmp_path / "log"))
+    log.create_topic("t")
+    log.append("t", 100, records(spark, [f"{i:03}" for i in range(400)], 1), "w", 1, 0, segment_bytes=1)
+    assert log.index().count() == 400
+    assert sorted(r._offset for r in log.read("t", 20).collect()) == list(range(20, 400))
+    assert log.read("t", 20, max_bytes=1 << 20).count() == 380 and log.read("t", 20, end=390).count() == 370
+    size = {r.start_offset: r.byte_length for r in log.index().collect()}
+    budget = sum(size[i] for i in range(300))
+    assert sorted(r._offset for r in log.read("t", max_bytes=budget).collect()) == list(range(300))

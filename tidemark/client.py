@@ -189,13 +189,15 @@ class Log:
         except UnknownTopic:
             return 0
 
-    def read(self, topic: str, offset: int = 0, max_bytes: int = 1 << 30, end: int | None = None) -> DataFrame:
-        """Records from `offset` on, within a budget of compressed bytes: the segment that crosses it is included."""
+    def read(self, topic: str, offset: int = 0, max_bytes: int | None = None, end: int | None = None) -> DataFrame:
+        """Records from `offset` on, all of them, or within a budget of compressed bytes: the segment that crosses it
+        is included. Only the budget ends a read, however many segments there are."""
         _, t = self._topic(self.state(), topic)
         index = self.index()
         if index is None:
             return self.spark.createDataFrame([], "topic_id int, schema_id int, _offset bigint, key binary, value binary")
-        chosen = scan.budget_scan(index.filter(F.col("topic_id") == t["topic_id"]), offset, max_bytes, end, topic="topic_id")
+        mine = index.filter(F.col("topic_id") == t["topic_id"])
+        chosen = mine.filter(scan.overlaps(offset, end)) if max_bytes is None else scan.budget_scan(mine, offset, max_bytes, end, rows=None, topic="topic_id")
         folders = [f"{self.path}/segments/{r.folder}" for r in chosen.select("folder").distinct().collect()]
         if not folders:
             return self.read_nothing()

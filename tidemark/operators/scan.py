@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most index rows of a read, and of a poll.
+#: Most index rows of one scan of a broker, and of a poll.
 SCAN_ROWS, POLL_ROWS = 256, 10
 
 
@@ -17,15 +17,17 @@ def overlaps(lo: int | Column, hi: int | Column | None = None) -> Column:
     return c if hi is None else c & (F.col("start_offset") < hi)
 
 
-def budget_scan(index: DataFrame, start: int, max_bytes: int, end: int | None = None, rows: int = SCAN_ROWS, topic: str = "topic") -> DataFrame:
+def budget_scan(index: DataFrame, start: int, max_bytes: int, end: int | None = None, rows: int | None = SCAN_ROWS, topic: str = "topic") -> DataFrame:
     """Each topic's first segments from `start` on: those whose predecessors sum up to less than max_bytes.
 
-    So the segment that crosses the budget is included, and a read always makes progress.
+    So the segment that crosses the budget is included, and a read always makes progress. A broker's scan ends after
+    `rows` too, and its reader goes on from there; with None only the bytes count.
     """
     w = Window.partitionBy(topic).orderBy("start_offset")
-    found = index.filter(overlaps(start, end)).withColumn("_n", F.row_number().over(w))
-    found = found.withColumn("_before", F.coalesce(F.sum("byte_length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return found.filter((F.col("_n") <= rows) & (F.col("_before") < max_bytes)).drop("_n", "_before")
+    found = index.filter(overlaps(start, end)).withColumn("_before", F.coalesce(F.sum("byte_length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if rows is not None:
+        found = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows)
+    return found.filter(F.col("_before") < max_bytes).drop("_n", "_before")
 
 
 def fetch(records: DataFrame, chosen: DataFrame, key: Sequence[str], start: int, max_bytes: int, size: str, end: int | None = None, topic: str = "topic") -> DataFrame:
