@@ -89,3 +89,35 @@ def test_client_reads_whole_topics(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     got = queries.QUERIES["client_append_read"](spark, str(tmp_path)).toPandas()
     assert len(got) == 3 and rows(got) == rows(con.execute(queries.SQL["client_append_read"]).df())
+
+
+def test_folds_pass_records_on_by_batches(spark):
+    """A worker never holds a broker's records: over many small batches the numbers go on, nulls as in SQL."""
+    from tidemark.operators import append
+
+    r = spark.range(3000).selectExpr("id", "id % 3 AS b", "CASE WHEN id % 11 > 0 THEN id % 17 END AS n", "CASE WHEN id % 13 > 0 THEN id * 10 END AS ms").repartition(5, "n")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        split, flushes = append.split_segments(r, ["b"], ["id"], "n", 40), append.assign_flushes(r, "b", ["id"], "ms", "n", 60, 500)
+        for made in (split, flushes):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+        split, flushes = ([tuple(x) for x in m.orderBy("b", "id").collect()] for m in (split, flushes))
+    finally:
+        spark.conf.set(batch, old)
+    assert len(split) == len(flushes) == 3000
+    last = None
+    for (id_, b, n, _, chunk), (*_, ms, flush) in zip(split, flushes, strict=True):
+        if b != last:
+            last, c, f, held, kept, first, start = b, 0, 0, 0, 0, None, True
+        # None: a sum or an age that nobody knows, which decides nothing
+        if not start and held is not None and n is not None and held + n > 40:
+            c, held = c + 1, 0
+        held = None if held is None or n is None else held + n
+        if not start and ((kept is not None and kept >= 60) or (ms is not None and first is not None and ms - first >= 500)):
+            f, kept, first = f + 1, 0, ms
+        first, start = ms if start else first, False
+        kept = None if kept is None or n is None else kept + n
+        assert (chunk, flush) == (c, f), id_

@@ -7,12 +7,15 @@ a topic, however hot the topic is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import prepared
+
 #: Fixed values of the log's protocol.
 SEGMENT_MAX_BYTES = 256 << 20
 FLUSH_MAX_BYTES, FLUSH_MAX_MS = 256 << 20, 200
@@ -98,38 +101,69 @@ def pressure(buffered: DataFrame, order: str, size: str, key: Sequence[str] = ()
     return buffered.withColumn("pressed", F.coalesce(F.last(decisive, ignorenulls=True).over(w), F.lit(False)))
 
 
-def _split(pdf: pd.DataFrame, size: str, limit: int) -> pd.DataFrame:
-    chunk, held, out = 0, 0, []
-    for i, n in enumerate(pdf[size].tolist()):
-        if i and held + n > limit:
+def _folded(records: DataFrame, key: Sequence[str], order: Sequence[str], sizes: Sequence[str], name: str, fold: Callable[[], Callable[..., int]]) -> DataFrame:
+    """Adds a number to each record that depends on those before it in its key: fold() makes the step of a new key,
+    which is called with each record's `sizes` in order.
+
+    Spark sorts, and spills if it must; records then pass through batch by batch, so a worker holds one batch however
+    many records a key has. A key is one task's, as each number depends on the one before.
+    """
+    prepared(records.sparkSession)
+    names = [*records.columns, name]
+    keys_at, sizes_at = [records.columns.index(c) for c in key], [records.columns.index(c) for c in sizes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for b in batches:
+            keys = zip(*(b.column(i).to_pylist() for i in keys_at), strict=True)
+            # a null is neither too large nor too old, as in SQL
+            values = zip(*([math.nan if v is None else v for v in b.column(i).to_pylist()] for i in sizes_at), strict=True)
+            out = []
+            for k, v in zip(keys, values, strict=True):
+                if k != last:
+                    last, step = k, fold()
+                out.append(step(*v))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names)
+
+    dealt = records.repartition(*key).sortWithinPartitions(*key, *[F.col(c).asc_nulls_last() for c in order])
+    return dealt.mapInArrow(run, records.withColumn(name, F.lit(0).cast("bigint")).schema)
+
+
+def _split(limit: int) -> Callable[[int], int]:
+    chunk, held = 0, None
+
+    def step(n: int) -> int:
+        nonlocal chunk, held
+        if held is not None and held + n > limit:
             chunk, held = chunk + 1, 0
-        held += n
-        out.append(chunk)
-    return pdf.assign(chunk=out)
+        held = (held or 0) + n
+        return chunk
+
+    return step
 
 
 def split_segments(records: DataFrame, key: Sequence[str], order: Sequence[str], size: str, limit: int = SEGMENT_MAX_BYTES) -> DataFrame:
     """Adds chunk: segments are cut before the record that would take them over `limit`; one record always fits.
 
-    Each cut depends on the one before, so a flush of one key is folded in order. A flush is bounded by the
-    broker's buffer, which bounds the group.
+    Each cut depends on the one before, so a flush of one key is folded in order.
     """
-    schema = records.withColumn("chunk", F.lit(0).cast("bigint")).schema
-    return records.groupBy(*key).applyInPandas(lambda p: _split(p.sort_values(list(order)), size, limit), schema)
+    return _folded(records, key, order, [size], "chunk", lambda: _split(limit))
+
 
+def _flushes(max_bytes: int, max_ms: int) -> Callable[[int, int], int]:
+    flush, held, first = 0, 0, None
 
-def _flushes(pdf: pd.DataFrame, ms: str, size: str, max_bytes: int, max_ms: int) -> pd.DataFrame:
-    flush, held, first, out = 0, 0, None, []
-    for t, n in zip(pdf[ms].tolist(), pdf[size].tolist(), strict=True):
+    def step(t: int, n: int) -> int:
+        nonlocal flush, held, first
         if first is not None and (held >= max_bytes or t - first >= max_ms):
             flush, held, first = flush + 1, 0, None
         first = t if first is None else first
         held += n
-        out.append(flush)
-    return pdf.assign(flush_id=out)
+        return flush
+
+    return step
 
 
 def assign_flushes(records: DataFrame, broker: str, order: Sequence[str], ms: str, size: str, max_bytes: int = FLUSH_MAX_BYTES, max_ms: int = FLUSH_MAX_MS) -> DataFrame:
     """Adds flush_id: a broker's buffer goes out once it holds max_bytes or its first record is max_ms old."""
-    schema = records.withColumn("flush_id", F.lit(0).cast("bigint")).schema
-    return records.groupBy(broker).applyInPandas(lambda p: _flushes(p.sort_values(list(order)), ms, size, max_bytes, max_ms), schema)
+    return _folded(records, [broker], order, [ms, size], "flush_id", lambda: _flushes(max_bytes, max_ms))
