@@ -214,6 +214,45 @@ def test_a_step_takes_six_array_operations(monkeypatch):
     assert 6 * steps <= len(done) < 7 * steps
 
 
+def test_few_lanes_take_many_steps_at_once(monkeypatch):
+    """Where few texts are left, rounds over many decisions give what a step for each gives, with far fewer operations."""
+    text = "the cat sat on the mat, É. A dog ate " * 100
+    m = Memory([["the dog sat. "] * 20, [text, text[:900], "short"]], [[False] * 20, [True] * 3])
+    c, a = m.cuts[1], m.answers(1)
+    steps, done = lm._lanes(c, a)[0].max(), []
+    with monkeypatch.context() as by_step:
+        by_step.setattr(lm, "FEW", 0)
+        want = lm._second_layer(c, a)
+
+    class Counting:
+        def __getattr__(self, name):
+            f = getattr(np, name)
+            return (lambda *x, **y: (done.append(name), f(*x, **y))[1]) if isinstance(f, np.ufunc) else f
+
+    monkeypatch.setattr(lm, "np", Counting())
+    got = lm._second_layer(c, a)
+    assert len(done) < steps / 2 and np.allclose(got, want, rtol=1e-6)
+    for strong in (1, 30):  # weights that hardly move, and such that jump with every decision
+        x = np.random.default_rng(strong).normal(0, strong, (2, 5, 300)).astype(np.float32) * np.float32(math.sqrt(lm.RATE) / 2)
+        w = np.full((2, 5), lm.FIRST / math.sqrt(lm.RATE), dtype=np.float32)
+        half, move = lm._window(x, w)
+        v = w.astype(float)
+        for i in range(300):
+            q = (v * x[:, :, i]).sum(axis=0)
+            assert np.allclose(half[:, i], q, atol=2e-3)
+            v -= x[:, :, i] * (1 + np.tanh(q))
+        assert np.allclose(w - move, v, atol=2e-3 * abs(v).max())
+
+
+def test_decisions_are_counted_as_often_as_they_occur():
+    keys, n, size = np.array([7, 9, 7, 7, 5, 9], np.uint64), np.array([3, 1 << 17, 0, 2]), np.array([2, 1, 1, 2])
+    got = Counter()
+    for k, t in zip(*lm._times(keys.copy(), n, size), strict=True):
+        got[int(k)] += int(t)
+    assert got == Counter({7: 3 + (1 << 17), 9: 3 + 2, 5: 2})
+    assert not len(lm._times(keys[:0], n[:0], size[:0])[0])
+
+
 def test_held_out_texts_cost_less_than_the_base_says(spark):
     import os
 

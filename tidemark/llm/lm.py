@@ -41,7 +41,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import reduce
-from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -72,9 +71,12 @@ FIRST = 0.5
 SPARE_BITS = 12
 ROWS = 1  # of blocks or ranges that a worker gets at once
 PASSES = 3  # parts of the blocks that are answered one after the other
-CHUNK = 1 << 20  # decisions that are put in order at once
-SLAB = 1 << 17  # decisions that are looked up at once
-FEW = 8  # lanes that are mixed one by one
+CHUNK = 1 << 17  # decisions that are put in order at once
+SLAB = 1 << 16  # decisions that are looked up at once
+FEW = 100  # lanes that are mixed over many decisions at once
+WINDOW = 1 << 13  # decisions of few lanes that are mixed at once
+SAME = np.float32(1e-5)  # odds, halved, that further rounds needn't change
+PIECE = 1 << 14  # bytes of units whose decisions are made at once
 MOST = 80  # nats that a decision costs at most
 
 _RNG = np.random.default_rng(5)
@@ -369,26 +371,40 @@ class Units:
         self.unit_at = self.step_at[self.u.offsets]  # where each unit's decisions begin
         return self
 
-    def decisions(self, odds: np.ndarray) -> np.ndarray:
-        """A key of each decision: its predictions (one byte a context) and its gates in the two sets, which is all the first layer knows of it."""
-        out = np.empty(self.step_at[-1], dtype=np.uint64)
+    def pieces(self, odds: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some decisions at a time: which, their predictions (decisions x contexts) and their gates in the two sets."""
         place = np.minimum(np.arange(len(self.leaf)) - np.repeat(self.u.offsets[:-1], np.diff(self.u.offsets)), 3)
         by_kind = (np.repeat(self.kind % MORE // STATES * 4, np.diff(self.u.offsets)) + place).astype(np.uint8)
-        for a in range(0, len(self.leaf), 1 << 16):
-            b = min(a + (1 << 16), len(self.leaf))
-            first = self.step_at[a:b] - self.step_at[a]
+        length, words = self.tree.length[(self.keys & np.uint64(255)).astype(np.int64)], np.zeros((len(self.keys), 8), dtype=np.int8)
+        for d in range(8):  # each pair's first predictions, to be taken at once
+            there = np.flatnonzero(length > d)
+            words[there, d] = odds[self.begin[there] + d]
+        words = words.view(np.uint64).ravel()
+        for a in range(0, len(self.leaf), PIECE):
+            b = min(a + PIECE, len(self.leaf))
             size = np.diff(self.step_at[a : b + 1])
             run = np.arange(size.sum())
-            x = np.empty((len(run), CONTEXTS), dtype=np.int8)
+            run -= np.repeat(self.step_at[a:b] - self.step_at[a], size)
+            some = _FIRST[np.minimum(size, 8)]
+            x = np.empty((np.count_nonzero(some), CONTEXTS), dtype=np.int8)
             for k, p in enumerate(self.pair):
-                at = np.repeat(self.begin[p[a:b]] - first, size)
-                at += run
-                x[:, k] = odds.take(at, mode="clip")
-            run -= np.repeat(first, size)
+                x[:, k] = words.take(p[a:b]).view(np.int8).reshape(-1, 8)[some]
+            if len(x) < len(run):
+                low, x = x, np.empty((len(run), CONTEXTS), dtype=np.int8)
+                x.view(np.uint32).ravel()[run < 8] = low.view(np.uint32).ravel()
+                later, byte = np.flatnonzero(run >= 8), np.repeat(np.arange(a, b), np.maximum(size - 8, 0))
+                for k, p in enumerate(self.pair):
+                    x[later, k] = odds[self.begin[p[byte]] + run[later]]
             sure = _SURE_WORD[x[:, -1].view(np.uint8)] + _SURE_LONG[x[:, -2].view(np.uint8)]
             sure += _DEPTH[run]
-            gate = sure.astype(np.uint16) << np.uint16(8) | np.repeat(by_kind[a:b], size)
-            out[self.step_at[a] : self.step_at[b]] = x.view(np.uint32).ravel().astype(np.uint64) << np.uint64(16) | gate
+            yield slice(self.step_at[a], self.step_at[b]), x, sure, np.repeat(by_kind[a:b], size)
+
+    def decisions(self, odds: np.ndarray) -> np.ndarray:
+        """A key of each decision: its predictions (one byte a context) and its gates in the two sets, which is all the first layer knows of it."""
+        out = np.empty(self.step_at[-1], dtype=np.uint64)
+        for here, x, sure, by_kind in self.pieces(odds):
+            gate = sure.astype(np.uint16) << np.uint16(8) | by_kind
+            out[here] = x.view(np.uint32).ravel().astype(np.uint64) << np.uint64(16) | gate
         return out
 
     def without_one(self) -> np.ndarray:
@@ -409,14 +425,22 @@ class Units:
 
     def mixed(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first layer: for each unit the cost of the decisions of which it says nothing and the number of the others; the others' two predictions."""
-        keys, number = codes(self.decisions(self.odds))
-        x, gate = opened(keys)
-        z = np.stack([whole_numbers(np.einsum("ij,ij->i", w[g], x), FINE) for w, g in zip(weights, gate, strict=True)], axis=1)
+        # a weight's product with each value that a prediction can have, in steps of FINE
+        tables = [[np.outer(w[:, k], _VALUES / FINE).astype(np.float32).ravel() for k in range(CONTEXTS)] for w in weights]
+        z = np.empty((self.step_at[-1], 2), dtype=np.int8)
+        for here, x, *gates in self.pieces(self.odds):
+            value = [x[:, k].view(np.uint8).astype(np.int64) for k in range(CONTEXTS)]
+            for j, (of_context, gate) in enumerate(zip(tables, gates, strict=True)):
+                row = gate.astype(np.int64) << 8
+                total = of_context[0].take(row | value[0], mode="clip")
+                for k in range(1, CONTEXTS):
+                    total += of_context[k].take(row | value[k], mode="clip")
+                z[here, j] = whole_numbers(total, _ONE)
         if not self.u.n:
             return np.empty(0), np.empty(0, np.int64), z
-        left = z.any(axis=1)[number]
+        left = z.view(np.uint16).ravel() != 0
         many = np.add.reduceat(left, self.unit_at[:-1], dtype=np.int64)
-        return (np.diff(self.unit_at) - many) * np.log(2), many, z[number[left]]
+        return (np.diff(self.unit_at) - many) * np.log(2), many, z[left]
 
 
 def opened(keys: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -425,9 +449,11 @@ def opened(keys: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]
     return x, ((keys >> np.uint64(8) & np.uint64(255)).astype(np.uint8), (keys & np.uint64(255)).astype(np.uint8))
 
 
+_VALUES = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float32) * SCALE
 _SIZE = np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(np.int16))
 _SURE_WORD = (3 * np.searchsorted([3, 7, 13], _SIZE, side="right")).astype(np.uint8)
 _SURE_LONG = np.searchsorted([4, 12], _SIZE, side="right").astype(np.uint8)
+_FIRST = np.arange(8) < np.arange(9)[:, None]
 _DEPTH = (12 * np.minimum(np.arange(256), DEPTHS - 1)).astype(np.uint8)
 
 
@@ -435,13 +461,27 @@ def first_weights() -> np.ndarray:
     return np.full((2, GATES, CONTEXTS), 0.3, dtype=np.float32)
 
 
+def _times(keys: np.ndarray, n: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training texts' decisions, and how often they occur: of units that occur n times, keys of 48 bits, size for each
+    unit. Those of the most frequent units may come twice. Keys are overwritten."""
+    often = np.flatnonzero(n >> 16)
+    at = ragged((np.cumsum(size) - size)[often], size[often])[0]
+    more = keys[at], np.repeat(n[often], size[often])
+    keys <<= np.uint64(16)
+    keys |= np.repeat(np.where(n >> 16, 0, n).astype(np.uint64), size)
+    keys.sort()  # cheaper than a hash table
+    times = (keys & np.uint64(0xFFFF)).astype(np.int64)
+    keys >>= np.uint64(16)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    keys, times = np.concatenate([keys[first], more[0]]), np.concatenate([np.add.reduceat(times, first) if len(first) else times, more[1]])
+    return keys[times > 0], times[times > 0].astype(np.float32)
+
+
 def regression(u: Units, rounds: int = 3, pull: float = 20.0) -> np.ndarray:
     """Curvature, and curvature times solution, of a range's own weights: 2 x GATES x CONTEXTS x (CONTEXTS + 1)."""
     out = np.zeros((2, GATES, CONTEXTS, CONTEXTS + 1))
     start = first_weights().astype(np.float64)
-    keys, number = codes(u.decisions(u.without_one()))
-    times = np.bincount(number, weights=np.repeat(u.times, np.diff(u.unit_at)), minlength=len(keys))
-    keys, times = keys[times > 0], times[times > 0].astype(np.float32)
+    keys, times = _times(u.decisions(u.without_one()), u.times, np.diff(u.unit_at))
     x, both = opened(keys)
     for k, gate in enumerate(both):
         order = np.argsort(gate, kind="stable")
@@ -567,22 +607,47 @@ def _second_layer(c: Cut, a: Answers) -> np.ndarray:
         cost[:m] += np.log(half, out=half).sum(axis=0, dtype=np.float64)
         w[:, :m] = v
         t, m = until, int(np.searchsorted(-size, -until))
-    for i in range(m):
-        w0, w1 = (w[:, i] * unit).tolist()
-        for s in range(t, int(size[i]), SLAB):
-            number, z = numbers[start[i] + s : start[i] + min(s + SLAB, int(size[i]))], []
-            for u, v in zip(a.x[0].take(number).tolist(), a.x[1].take(number).tolist(), strict=True):
-                q = max(w0 * u + w1 * v, -MOST)
-                z.append(q)
-                err = RATE / (1 + exp(min(q, MOST)))
-                w0 += err * u
-                w1 += err * v
-            cost[i] += np.log1p(np.exp(-np.array(z))).sum()
+    while m:
+        until = min(t + max(min(SLAB, WINDOW) // m, 1), max(int(size[m - 1 - m // 4]), t + 1))
+        number = as_strided(numbers, (len(numbers) - until + t + 1, until - t), numbers.strides * 2)[start[:m] + t]
+        left = int(np.searchsorted(-size, -until, side="right"))
+        over = np.arange(t, until) >= size[left:m, None]
+        number[left:][over] = 0
+        x = np.multiply(number.view(np.int8).reshape(m, -1, 2).transpose(2, 0, 1), np.float32(-FINE * unit / 2), order="C")
+        half, move = _window(x, w[:, :m])
+        w[:, :m] -= move
+        half[left:][over] = -MOST
+        cost[:m] += np.log1p(np.exp(np.minimum(half + half, np.float32(MOST)))).sum(axis=1, dtype=np.float64)
+        t, m = until, int(np.searchsorted(-size, -until))
     out = np.empty(len(size))
     out[order] = cost
     return out.reshape(LAST_GATES, -1).sum(axis=0)
 
 
+def _window(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The negative odds, halved, of decisions x (2, lanes, decisions), and how far the weights w (2, lanes) move down.
+
+    The same chain as step by step: what each decision's odds are follows from the errors of those before it. Rounds
+    work out all errors from the last round's odds until these stay as they are. A round makes at least one more
+    decision of each lane right, and weights move so little that some rounds are enough for all.
+    """
+    alone = x[0] * w[0, :, None] + x[1] * w[1, :, None]
+    half, move, new = alone, np.empty_like(x), np.empty_like(alone)
+    for _ in range(x.shape[2] + 1):
+        error = np.tanh(half)
+        error += _ONE
+        np.multiply(x, error, out=move)
+        np.cumsum(move, axis=2, out=move)
+        new[:, 0] = alone[:, 0]
+        change = x[:, :, 1:] * move[:, :, :-1]
+        np.subtract(alone[:, 1:], change[0], out=new[:, 1:])
+        new[:, 1:] -= change[1]
+        if new is half or np.abs(new - half).max() <= SAME:
+            break
+        half, new = new, half if half is not alone else np.empty_like(alone)
+    return new, move[:, :, -1]
+
+
 # --- ranges of contexts ------------------------------------------------------------------------------------
 
 #: Contexts' counts go back in a byte: up to 31 as they are, then in eighths of a doubling.
