@@ -151,6 +151,49 @@ def test_words_are_encoded_once(byte, monkeypatch):
             assert own.tolist() == ids[at[s] : at[e]].tolist() and begin.tolist() == (at[s : e + 1] - at[s]).tolist()
 
 
+def test_blocks_are_joined_row_by_row(byte, monkeypatch):
+    """A block's texts are many rows of some bytes, in the splitting as in the joining, and its words one table all the same."""
+    for name, size in (("BLOCK", 1 << 16), ("ROW", 1 << 13), ("PART", 1 << 11)):
+        monkeypatch.setattr(bpe, name, size)
+    rnd = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rnd.integers(0, 300, n)) for n in rnd.integers(0, 150, 300)] + ["a b" * 9000, *TEXTS]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(s, min(s + 50, len(texts)))), pa.array(texts[s : s + 50], pa.string())], ["doc_id", "text"]) for s in range(0, len(texts), 50)]
+    t = bpe.WordTable(str(byte))
+    rows = [r for b in bpe.split_rows(iter(batches), t, 1, 7) for r in b.to_pylist()]
+    of = {k: {b: [r for r in rows if r["part"] == k and r["block"] == b] for b in (8, 9, 10)} for k in ("places", "words", "heads")}
+    assert len(rows) == sum(len(x) for k in of.values() for x in k.values())
+    many = [len(x) for x in of["places"].values()]
+    assert many[0] > 4 and sum(many) > 8 and all(len(x) == 1 for k in ("words", "heads") for x in of[k].values() if x)
+    assert max(sum(len(texts[i].encode()) for i in r["ids"]) for x in of["places"].values() for r in x if 300 not in r["ids"]) < 2 << 13
+    asked = []
+    for b, (w, *_) in ((b, x) for b, x in of["words"].items() if x):
+        size, raw, kind, _ = exchange.unpack(w["data"])
+        asked.append((b, exchange.pack(size, raw, kind)))
+    found = dict(bpe.answers(asked, t))
+    kinds = pa.list_(pa.struct([("idx", pa.int32()), ("data", pa.binary())]))
+    joined = [pa.RecordBatch.from_arrays([pa.array([b]), pa.array([r["ids"]]), pa.array([r["data"]], pa.binary()), pa.array([[{"idx": 0, "data": found[b]}, {"idx": bpe.HEAD, "data": of["heads"][b][0]["data"]}]], kinds)], ["block", "ids", "data", "found"]) for b, x in of["places"].items() for r in x[::-1]]
+    got = {}
+    for doc_id, size, _, ids, at in bpe.join_rows(iter(joined), t, lambda _, *x: x):
+        assert size.tolist() == [len(texts[i].encode()) for i in doc_id.to_pylist()]
+        got |= {i: ids[s:e].tolist() for i, s, e in zip(doc_id.to_pylist(), at[:-1], at[1:], strict=True)}
+    ids, at = t.encode(texts)
+    assert got == {i: ids[s:e].tolist() for i, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True))}
+
+
+def test_splitting_holds_a_row_not_a_block(byte):
+    """What numpy takes for a block is that of a part and a row; it was some 7 bytes for each of the block's, and more with the texts."""
+    rnd = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(5000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([s]), pa.array([" ".join(words[i] for i in rnd.integers(0, 5000, 160_000))])], ["doc_id", "text"]) for s in range(24)]
+    t, peaks = bpe.WordTable(str(byte)), []
+    for n in (1, 8, 24):  # the first one makes tables of powers and the like
+        tracemalloc.start()
+        assert sum(r["part"] == "heads" for b in bpe.split_rows(iter(batches[:n]), t, 64, 0) for r in b.to_pylist()) == 1
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[2] < 1.3 * peaks[1]
+
+
 def test_op8_over_the_smallest_table(spark, data):
     from tidemark.llm import queries
 

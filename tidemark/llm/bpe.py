@@ -1,10 +1,11 @@
 """BPE encoding and decoding through one table of the corpus's distinct words.
 
 1. Split. Each text is cut into words: white space and what follows it up to the next, which no piece of the
-   byte-level pre-tokenizer crosses. Blocks of texts are written as numbers of their distinct words.
+   byte-level pre-tokenizer crosses. Blocks of texts are written as numbers of their distinct words, in rows of a
+   part of the block each, and a worker holds no more of a block than its words' numbers.
 2. Encode. Blocks send their distinct words out by range of hash. A range knows each distinct word of the corpus
    once, encodes it once, and sends each block its words' ids.
-3. Join back. A block puts the ids of its words at the words' positions.
+3. Join back. A block puts the ids of its words at the words' positions, row by row.
 4. Decode. Ids are joined with the id-to-piece table, which is as large as the vocabulary (some 50,000 pieces)
    whatever the input, and the pieces' bytes put together.
 
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 
 from ..session import prepared
 from .exchange import ASKED, batch_of, blocks, by_range, numbered, pack, ragged, ranges_for, skewed, unpack, unskewed
-from .text import BATCH_ROWS, BYTE_CHARS, IS_WORD, Scratch, Texts, byte_level, mix, slices, texts_of, tidied
+from .text import BATCH_ROWS, BYTE_CHARS, IS_WORD, Scratch, Texts, byte_level, mix, texts_of, tidied
 
 #: Distinct pieces that a worker keeps encoded; beyond that it starts a new table.
 TABLE_LIMIT = 400_000
-BLOCK, PART = 32 << 20, 1 << 20  # bytes of text in a block, and of those that are worked on at a time
+BLOCK, ROW, PART = 32 << 20, 4 << 20, 1 << 20  # bytes of text in a block, of those in a row, and of those that are worked on at a time
 #: Fixed: the byte-level pre-tokenizer's pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a word is: some pieces of the pattern; one piece that the library cut; a special token.
@@ -179,17 +180,28 @@ class Block:
     def __init__(self, parts: list[Split], ranges: int = 1):
         h, first, number = numbered(np.concatenate([p.h for p in parts]))
         cut = np.cumsum([0, *(len(p.h) for p in parts)])
-        number = np.concatenate([number[c : c + len(p.h)][p.number] for c, p in zip(cut, parts, strict=False)])
+        times = np.bincount(number, np.concatenate([np.bincount(p.number, minlength=len(p.h)) for p in parts]), len(h))
         place = (h >> np.uint64(65 - ranges.bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(h), np.int64)
-        order = np.lexsort((place, -np.bincount(number, minlength=len(h))))  # words that are as frequent come range by range
+        order = np.lexsort((place, -times))  # words that are as frequent come range by range
         rank = np.empty(len(h), dtype=np.int64)
         rank[order] = np.arange(len(h))
-        self.number, first, self.place = rank[number], first[order], place[order]
-        self.before = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.before) for p in parts]))]).astype(np.int64)
+        self.parts, self.ranks, first, self.place = parts, np.split(rank[number], cut[1:-1]), first[order], place[order]
         size = np.concatenate([np.diff(p.words.offsets) for p in parts])
         at, off = ragged((np.cumsum(size) - size)[first], size[first])
         self.words, self.kind = Texts(np.concatenate([p.words.data for p in parts])[at], off), np.concatenate([p.kind for p in parts])[first]
 
+    def numbers(self, s: int, e: int) -> np.ndarray:
+        """The words of parts s to e in their places."""
+        return np.concatenate([r.take(p.number) for r, p in zip(self.ranks[s:e], self.parts[s:e], strict=True)])
+
+    @property
+    def number(self) -> np.ndarray:
+        return self.numbers(0, len(self.parts))
+
+    @property
+    def before(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.before) for p in self.parts]))]).astype(np.int64)
+
     def questions(self) -> Iterator[tuple[int, bytes]]:
         """The distinct words for each range of hashes."""
         size, start = np.diff(self.words.offsets), self.words.offsets[:-1]
@@ -248,6 +260,62 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge, np.concatenate([edge[1:], [len(x)]]) if len(edge) else edge
 
 
+#: Rows of a block: its texts' words by number (places), its distinct words (words), and the ranges that these fall into (heads).
+SPLIT = "part string, block bigint, ids array<bigint>, data binary"
+HEAD = -1  # stands before all ranges
+
+
+def split_rows(batches: Iterator[pa.RecordBatch], t: WordTable, ranges: int, base: int) -> Iterator[pa.RecordBatch]:
+    """The rows SPLIT of the blocks that texts (doc_id, text) make, numbered from base + 1. Texts go as soon as their words are numbered."""
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+
+    def row(part: str, ids: list | None, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, base, ids, pack(*columns)), kinds, strict=True)], ["part", "block", "ids", "data"])
+
+    def rows(kept: list) -> Iterator[pa.RecordBatch]:
+        ids, parts, size, h = zip(*kept, strict=True)
+        c = Block(parts, ranges)
+        yield row("words", None, np.diff(c.words.offsets), c.words.data, c.kind, c.place)
+        yield row("heads", None, c.place)
+        start = np.cumsum([0, *(x.sum() for x in size[:-1])])
+        for s, e in zip(*(x.tolist() for x in _runs(start // ROW)), strict=True):
+            many = np.concatenate([np.diff(p.before) for p in parts[s:e]])
+            yield row("places", [i for x in ids[s:e] for i in x], many, *skewed(c.numbers(s, e)), np.concatenate(size[s:e]), np.concatenate(h[s:e]))
+
+    kept, size = [], 0
+    for b in blocks(batches, PART):
+        x = texts_of(b.column(1))
+        kept.append((b.column(0).to_pylist(), Split(x, t), np.diff(x.offsets), x.span_hash(x.offsets[:-1], x.offsets[1:])))
+        size += len(x.data)
+        if size >= BLOCK:
+            base += 1
+            yield from rows(kept)
+            kept, size = [], 0
+    if kept:
+        base += 1
+        yield from rows(kept)
+
+
+def join_rows(batches: Iterator[pa.RecordBatch], t: WordTable, made: Callable) -> Iterator[pa.RecordBatch]:
+    """What `made` makes of rows (block, ids, data, found): those of a block follow each other, and found, the ranges' answers, is read once for them."""
+    now = places = None
+    for b in batches:
+        for i in range(b.num_rows):
+            if (block := b.column("block")[i].as_py()) != now:
+                now, places = block, None
+                found = sorted(b.column("found")[i].as_py(), key=lambda p: p["idx"])
+                (place,), *pieces = (unpack(p["data"]) for p in found)
+                word_size, low, high = (np.concatenate([p[k] for p in pieces]).astype(np.int64) if pieces else np.empty(0, np.int64) for k in range(3))
+                places = Places(place[:0], np.zeros(1, np.int64), place, low + (high << 8), word_size)
+                del found, pieces, low, high, word_size
+            many, number, bits, size, h = unpack(b.column("data")[i].as_py())
+            places.number, places.before = unskewed(number, bits), np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+            doc_ids, size, h = pa.array(b.column("ids")[i].as_py(), pa.int64()), size.astype(np.int64), h.astype(np.uint64)
+            part = (np.cumsum(size) - size) // PART
+            for s, e in zip(*(x.tolist() for x in _runs(part)), strict=True):
+                yield made(t, doc_ids.slice(s, e - s), size[s:e], h[s:e], *places.ids(s, e))
+
+
 def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, schema: str) -> DataFrame:
     """What `made` makes of the rows of docs (doc_id, text), block by block: of the tokenizer's table, ids of
     documents, bytes of texts, their hashes, all ids, and where each text's ids begin."""
@@ -258,21 +326,10 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
     ranges = ranges_for(size)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        for n, b in enumerate(blocks(batches, BLOCK), 1):
-            parts, size, h = [], [], []
-            for part in slices(b, "text", PART):
-                t = texts_of(part.column(1))
-                parts.append(Split(t, table(tokenizer)))
-                size.append(np.diff(t.offsets))
-                h.append(t.span_hash(t.offsets[:-1], t.offsets[1:]))
-            c = Block(parts, ranges)
-            data = [pack(np.diff(c.before), *skewed(c.number), c.place, np.concatenate(size), np.concatenate(h)), pack(np.diff(c.words.offsets), c.words.data, c.kind, c.place)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((["places", "words"], [task + n] * 2, [b.column(0).to_pylist(), None], data), kinds, strict=True)], ["part", "block", "ids", "data"])
-
-    written = docs.select("doc_id", "text").mapInArrow(tidied(split), "part string, block bigint, ids array<bigint>, data binary")
-    places, words = scratch.write_parts(written, "split", "part", ["places", "words"])
+        return split_rows(batches, table(tokenizer), ranges, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32)
+
+    written = docs.select("doc_id", "text").mapInArrow(tidied(split), SPLIT)
+    places, words, heads = scratch.write_parts(written, "split", "part", ["places", "words", "heads"])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,23 +347,14 @@ def encoded(docs: DataFrame, tokenizer: str, scratch: Scratch, made: Callable, s
             yield batch_of(ASKED, [who], [idx], [data])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                many, number, number_bits, place, size, h = unpack(b.column("data")[i].as_py())
-                before = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
-                pieces = [unpack(p["data"]) for p in sorted(b.column("found")[i].as_py() or [], key=lambda p: p["idx"])]
-                word_size, low, high = (np.concatenate([p[k] for p in pieces]).astype(np.int64) if pieces else np.empty(0, np.int64) for k in range(3))
-                all_places = Places(unskewed(number, number_bits), before, place, low + (high << 8), word_size)
-                doc_ids, size, h = pa.array(b.column("ids")[i].as_py(), pa.int64()), size.astype(np.int64), h.astype(np.uint64)
-                part = (np.cumsum(size) - size) // PART
-                for s, e in zip(*(x.tolist() for x in _runs(part)), strict=True):
-                    yield made(table(tokenizer), doc_ids.slice(s, e - s), size[s:e], h[s:e], *all_places.ids(s, e))
+        yield from join_rows(batches, table(tokenizer), made)
 
     found = scratch.write(by_range(words.select("block", "data").mapInArrow(tidied(ask), ASKED), answer, ASKED), "answers")
     del words, written
     scratch.drop("split/part=words")
+    found = found.union(heads.select(F.col("block").alias("who"), F.lit(HEAD).alias("idx"), "data"))
     found = found.groupBy(F.col("who").alias("block")).agg(F.collect_list(F.struct("idx", "data")).alias("found"))
-    return places.join(found, "block", "left").select("ids", "data", "found").mapInArrow(tidied(join), schema)
+    return places.join(found, "block", "left").select("block", "ids", "data", "found").mapInArrow(tidied(join), schema)
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, scratch: Scratch) -> DataFrame:
