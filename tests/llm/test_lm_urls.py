@@ -244,6 +244,50 @@ def test_few_lanes_take_many_steps_at_once(monkeypatch):
         assert np.allclose(w - move, v, atol=2e-3 * abs(v).max())
 
 
+def test_a_decision_takes_one_exponential_and_one_logarithm(monkeypatch):
+    """The error and the cost of a decision come from the same exponential, which is what a step takes most of its time for."""
+    text = "the cat sat on the mat, É. A dog ate " * 100
+    m = Memory([["the dog sat. "] * 20, [text] * 4], [[False] * 20, [True] * 4])
+    taken = Counter()
+
+    class Counting:
+        def __getattr__(self, name):
+            f = getattr(np, name)
+            return (lambda *x, **y: (taken.update({name: np.size(x[0])}), f(*x, **y))[1]) if name in ("exp", "log", "tanh", "log1p", "expm1") else f
+
+    a = m.answers(1)
+    monkeypatch.setattr(lm, "FEW", 0)
+    monkeypatch.setattr(lm, "np", Counting())
+    lm._second_layer(m.cuts[1], a)
+    assert set(taken) == {"exp", "log"} and taken["exp"] == taken["log"]
+
+
+def test_odds_beyond_what_a_number_holds():
+    """Weights and predictions as large as can be: costs stay finite, and a sure decision moves nothing."""
+    w = np.full((2, 3), 40 / math.sqrt(lm.RATE), dtype=np.float32)
+    x = np.full((2, 3, 40), -32 * math.sqrt(lm.RATE) / 2, dtype=np.float32)
+    x[:, 1] *= -1
+    half, move = lm._window(x, w)
+    assert np.isfinite(half).all() and np.isfinite(move).all() and not move[:, [0, 2]].any() and move[:, 1].all()
+    cost = lm._costs(np.array([np.inf, 1, 0, 1e-30], dtype=np.float32))
+    assert np.allclose(cost, [0, math.log(2), lm.MOST, 30 * math.log(10)], rtol=1e-4)
+
+
+def test_units_of_a_block_are_told_apart_by_all_their_bytes():
+    """Units of every size that differ in one byte or in their size only, zero bytes among them, at the text's end too."""
+    rnd = np.random.default_rng(7)
+    units = [b"\x00" * k for k in range(1, lm.UNIT + 1)]
+    for k in range(1, lm.UNIT + 1):
+        u = rnd.integers(1, 256, k, dtype=np.uint8)
+        units += [u.tobytes(), *((u ^ (np.arange(k) == i)).astype(np.uint8).tobytes() for i in range(k))]
+    size = np.array([len(u) for u in units])
+    start = np.cumsum(size) - size
+    h = lm.unit_hashes(np.frombuffer(b"".join(units), np.uint8), start, size)
+    assert len(set(h.tolist())) == len(set(units))
+    again = lm.unit_hashes(np.frombuffer(b"".join(units[::-1]), np.uint8), np.cumsum(size[::-1]) - size[::-1], size[::-1])
+    assert np.array_equal(h, again[::-1])
+
+
 def test_decisions_are_counted_as_often_as_they_occur():
     keys, n, size = np.array([7, 9, 7, 7, 5, 9], np.uint64), np.array([3, 1 << 17, 0, 2]), np.array([2, 1, 1, 2])
     got = Counter()

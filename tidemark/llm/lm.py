@@ -45,6 +45,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import as_strided
+from pandas import factorize
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,7 @@ CHUNK = 1 << 17  # decisions that are put in order at once
 SLAB = 1 << 16  # decisions that are looked up at once
 FEW = 100  # lanes that are mixed over many decisions at once
 WINDOW = 1 << 13  # decisions of few lanes that are mixed at once
+RUNS = 16  # decisions of a lane that follow each other in a column of a window, at most
 SAME = np.float32(1e-5)  # odds, halved, that further rounds needn't change
 PIECE = 1 << 14  # bytes of units whose decisions are made at once
 MOST = 80  # nats that a decision costs at most
@@ -85,6 +87,7 @@ _SALT = _RNG.integers(1, 2**63, CONTEXTS, dtype=np.uint64)
 _KIND = _RNG.integers(1, 2**63, 2 * MORE, dtype=np.uint64)
 _ODDS = np.float32(0.1)
 _ONE = np.float32(1)
+_LEAST = np.float32(np.exp(-MOST))
 
 
 def with_ends(t: Texts) -> Texts:
@@ -187,7 +190,7 @@ class Cut:
             starts, more = np.repeat(starts, parts) + UNIT * nth, nth > 0
             ends = np.concatenate([starts[1:], [len(t.data)]])
         self.before = np.searchsorted(starts, t.offsets)
-        _, seen, self.unit = numbered(t.span_hash(starts, ends) ^ np.where(more, _KIND[MORE], np.uint64(0)))
+        _, seen, self.unit = numbered(unit_hashes(t.data, starts, ends - starts) ^ np.where(more, _KIND[MORE], np.uint64(0)))
         size = (ends - starts)[seen]
         at, off = ragged(starts[seen], size)
         self.u, self.more = Texts(t.data[at], off), more[seen]
@@ -230,6 +233,22 @@ class Cut:
         self.entry_n = np.bincount(self.entry, weights=train[doc], minlength=len(both)).astype(np.int64)
 
 
+def unit_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each unit's bytes, taken eight at a time; sizes are UNIT at most."""
+    eight = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(eight[start] & _LOW[np.minimum(size, 8)] ^ size.astype(np.uint64) * _SALT[0])
+    for k in range(8, UNIT, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        h[more] = mix(h[more] * _SALT[1] ^ eight[start[more] + k] & _LOW[np.minimum(size[more] - k, 8)])
+    return h
+
+
+#: The lowest bytes of a number, by how many.
+_LOW = np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
 def endings(u: Texts) -> np.ndarray:
     """The state of what follows each unit."""
     last = u.data[u.offsets[1:] - 1]
@@ -330,7 +349,8 @@ class Units:
         self.kind, self.times, self.tree = kind.astype(np.int64), times.astype(np.int64), tree
         self.leaf = tree.leaf[self.u.data].astype(np.int64)
         shift = np.uint64(64 - bits)
-        asked = [codes((x >> shift) << np.uint64(8) | self.leaf.astype(np.uint64)) for x in self.contexts()]
+        leaf = self.leaf.astype(np.uint64)
+        asked = [factorize((x >> shift) << np.uint64(8) | leaf)[::-1] for x in self.contexts()]  # a third of the time of `codes` where most are distinct
         weight = np.repeat(self.times, np.diff(self.u.offsets)).astype(np.float64)
         keys = np.concatenate([a[0] for a in asked])
         n = np.concatenate([np.bincount(a[1], weights=weight, minlength=len(a[0])) for a in asked])
@@ -386,9 +406,10 @@ class Units:
             run = np.arange(size.sum())
             run -= np.repeat(self.step_at[a:b] - self.step_at[a], size)
             some = _FIRST[np.minimum(size, 8)]
-            x = np.empty((np.count_nonzero(some), CONTEXTS), dtype=np.int8)
+            first = np.empty((b - a, 8, CONTEXTS), dtype=np.int8)
             for k, p in enumerate(self.pair):
-                x[:, k] = words.take(p[a:b]).view(np.int8).reshape(-1, 8)[some]
+                first[:, :, k] = words.take(p[a:b]).view(np.int8).reshape(-1, 8)
+            x = first.view(np.uint32)[:, :, 0][some].view(np.int8).reshape(-1, CONTEXTS)
             if len(x) < len(run):
                 low, x = x, np.empty((len(run), CONTEXTS), dtype=np.int8)
                 x.view(np.uint32).ravel()[run < 8] = low.view(np.uint32).ravel()
@@ -541,30 +562,26 @@ def _lanes(c: Cut, a: Answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     each other, as texts do.
     """
     n = len(c.before) - 1
+    many = np.diff(a.at)[c.entry]
+    done = np.concatenate([[0], np.cumsum(many)])
+    total, edges = done[c.before], _edges(done[1:])
+    size = np.zeros((LAST_GATES, n), dtype=np.int64)
+    parts: list[list[np.ndarray]] = [[] for _ in range(LAST_GATES)]
     doc = np.repeat(np.arange(n), np.diff(c.before))
-    many = np.diff(a.at)
-    gate = a.gate.take(a.z)
-    of_entry = np.empty((len(many), LAST_GATES), dtype=np.int64)
-    edges = _edges(a.at[1:])
     for s, e in zip(edges[:-1], edges[1:], strict=True):
-        own = np.repeat(np.arange(e - s) * LAST_GATES, many[s:e])
-        own += gate[a.at[s] : a.at[e]]
-        of_entry[s:e] = np.bincount(own, minlength=(e - s) * LAST_GATES).reshape(-1, LAST_GATES)
-    z = np.concatenate([a.z[gate == g] for g in range(LAST_GATES)])
-    begin = (np.cumsum(of_entry.T) - of_entry.T.ravel()).reshape(LAST_GATES, -1)
-    done = np.cumsum(many[c.entry])
-    out, at, sizes, edges = np.zeros((done[-1] if len(done) else 0) + SLAB, dtype=np.uint16), 0, [], _edges(done)
-    for g in range(LAST_GATES):
-        of_gate = np.ascontiguousarray(of_entry[:, g])
-        sizes.append(np.bincount(doc, weights=of_gate[c.entry], minlength=n).astype(np.int64))
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            entry = c.entry[s:e]
-            some = z.take(ragged(begin[g][entry], of_gate[entry])[0])
-            out[at : at + len(some)] = some
-            at += len(some)
-    size = np.concatenate(sizes)
-    start = np.cumsum(size) - size
-    return size, start, out
+        number = a.z.take(ragged(a.at[c.entry[s:e]], many[s:e])[0])
+        gate = a.gate.take(number)
+        if s == e:
+            continue
+        d0, d1 = doc[s], doc[e - 1] + 1
+        cut = np.clip(total[d0 : d1 + 1], done[s], done[e]) - done[s]
+        for g in range(LAST_GATES):
+            there = np.flatnonzero(gate == g)
+            parts[g].append(number.take(there))
+            size[g, d0:d1] += np.diff(np.searchsorted(there, cut))
+    out = np.concatenate([*(x for p in parts for x in p), np.zeros(SLAB, np.uint16)])
+    size = size.ravel()
+    return size, np.cumsum(size) - size, out
 
 
 def _edges(done: np.ndarray) -> np.ndarray:
@@ -581,71 +598,97 @@ def _second_layer(c: Cut, a: Answers) -> np.ndarray:
     unit, cost = np.sqrt(RATE), np.zeros(len(size))
     w = np.full((2, len(size)), FIRST / unit, dtype=np.float32)
     t, m = 0, int(np.count_nonzero(size))
-    multiply, add, subtract, tanh = np.multiply, np.add, np.subtract, np.tanh  # small arrays, many calls
-    while m > FEW:  # the m longest lanes side by side, from their t-th decisions on
-        until = min(t + max(SLAB // m, 1), max(int(size[m - 1 - m // 4]), t + 1))
-        number = as_strided(numbers, (len(numbers) - until + t + 1, until - t), numbers.strides * 2)[start[:m] + t]
-        left = int(np.searchsorted(-size, -until, side="right"))  # lanes that go on; the others are filled up
-        over = np.arange(t, until) >= size[left:m, None]
-        number[left:][over] = 0
-        x = np.empty((until - t, 2, m), dtype=np.float32)
-        np.multiply(number.view(np.int8).reshape(m, -1, 2).transpose(1, 2, 0), np.float32(-FINE * unit / 2), out=x)
-        half, v, part = np.empty((until - t, m), dtype=np.float32), np.ascontiguousarray(w[:, :m]), np.empty((2, m), dtype=np.float32)
-        first, second = part
-        for u, e in zip(x, half, strict=True):  # an error is 1 + tanh(-odds / 2), halved
-            multiply(v, u, part)
-            add(first, second, e)
-            tanh(e, first)
-            add(first, _ONE, first)
-            multiply(u, first, u)
-            subtract(v, u, v)
-        half.T[left:][over] = -MOST
-        np.add(half, half, out=half)
-        np.minimum(half, np.float32(MOST), out=half)
-        np.exp(half, out=half)
-        np.add(half, _ONE, out=half)
-        cost[:m] += np.log(half, out=half).sum(axis=0, dtype=np.float64)
-        w[:, :m] = v
-        t, m = until, int(np.searchsorted(-size, -until))
-    while m:
-        until = min(t + max(min(SLAB, WINDOW) // m, 1), max(int(size[m - 1 - m // 4]), t + 1))
-        number = as_strided(numbers, (len(numbers) - until + t + 1, until - t), numbers.strides * 2)[start[:m] + t]
-        left = int(np.searchsorted(-size, -until, side="right"))
-        over = np.arange(t, until) >= size[left:m, None]
-        number[left:][over] = 0
-        x = np.multiply(number.view(np.int8).reshape(m, -1, 2).transpose(2, 0, 1), np.float32(-FINE * unit / 2), order="C")
-        half, move = _window(x, w[:, :m])
-        w[:, :m] -= move
-        half[left:][over] = -MOST
-        cost[:m] += np.log1p(np.exp(np.minimum(half + half, np.float32(MOST)))).sum(axis=1, dtype=np.float64)
-        t, m = until, int(np.searchsorted(-size, -until))
+    multiply, add, divide, exp = np.multiply, np.add, np.divide, np.exp  # small arrays, many calls
+    with np.errstate(over="ignore", under="ignore"):  # of odds that are sure beyond what a number can hold
+        while m > FEW:  # the m longest lanes side by side, from their t-th decisions on
+            until = min(t + max(SLAB // m, 1), max(int(size[m - 1 - m // 4]), t + 1))
+            number, left, over = _numbers(numbers, start[:m], size[:m], t, until)
+            x = np.empty((until - t, 2, m), dtype=np.float32)
+            np.multiply(number.view(np.int8).reshape(m, -1, 2).transpose(1, 2, 0), np.float32(FINE * unit), out=x)
+            odds, v, part = np.empty((until - t, m), dtype=np.float32), np.ascontiguousarray(w[:, :m]), np.empty((2, m), dtype=np.float32)
+            first, second = part
+            for u, e in zip(x, odds, strict=True):  # an error is 1 / (1 + odds)
+                multiply(v, u, part)
+                add(first, second, first)
+                exp(first, e)
+                add(e, _ONE, first)
+                divide(u, first, u)
+                add(v, u, v)
+            odds.T[left:][over] = np.inf
+            cost[:m] += _costs(odds).sum(axis=0, dtype=np.float64)
+            w[:, :m] = v
+            t, m = until, int(np.searchsorted(-size, -until))
+        while m:
+            until = min(t + max(min(SLAB, WINDOW) // m, 1), max(int(size[m - 1 - m // 4]), t + 1))
+            number, left, over = _numbers(numbers, start[:m], size[:m], t, until)
+            x = np.multiply(number.view(np.int8).reshape(m, -1, 2).transpose(2, 0, 1), np.float32(-FINE * unit / 2), order="C")
+            half, move = _window(x, w[:, :m])
+            w[:, :m] -= move
+            half[left:][over] = -np.inf
+            half *= np.float32(-2)
+            cost[:m] += _costs(np.exp(half, out=half)).sum(axis=1, dtype=np.float64)
+            t, m = until, int(np.searchsorted(-size, -until))
     out = np.empty(len(size))
     out[order] = cost
     return out.reshape(LAST_GATES, -1).sum(axis=0)
 
 
+def _numbers(numbers: np.ndarray, start: np.ndarray, size: np.ndarray, t: int, until: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """The decisions t to until of lanes, longest first; from which lane on they are filled up, and where."""
+    number = as_strided(numbers, (len(numbers) - until + t + 1, until - t), numbers.strides * 2)[start + t]
+    left = int(np.searchsorted(-size, -until, side="right"))
+    over = np.arange(t, until) >= size[left:, None]
+    number[left:][over] = 0
+    return number, left, over
+
+
+def _costs(odds: np.ndarray) -> np.ndarray:
+    """What decisions cost whose odds (not their logarithms) are these, which are overwritten; MOST at most."""
+    np.maximum(odds, _LEAST, out=odds)
+    np.divide(_ONE, odds, out=odds)
+    np.add(odds, _ONE, out=odds)
+    return np.log(odds, out=odds)
+
+
 def _window(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The negative odds, halved, of decisions x (2, lanes, decisions), and how far the weights w (2, lanes) move down.
 
     The same chain as step by step: what each decision's odds are follows from the errors of those before it. Rounds
     work out all errors from the last round's odds until these stay as they are. A round makes at least one more
     decision of each lane right, and weights move so little that some rounds are enough for all.
+
+    A lane's decisions lie in RUNS rows at most, one after another in a column, so that the sums of all columns are made
+    side by side.
     """
-    alone = x[0] * w[0, :, None] + x[1] * w[1, :, None]
-    half, move, new = alone, np.empty_like(x), np.empty_like(alone)
-    for _ in range(x.shape[2] + 1):
-        error = np.tanh(half)
-        error += _ONE
-        np.multiply(x, error, out=move)
-        np.cumsum(move, axis=2, out=move)
-        new[:, 0] = alone[:, 0]
-        change = x[:, :, 1:] * move[:, :, :-1]
-        np.subtract(alone[:, 1:], change[0], out=new[:, 1:])
-        new[:, 1:] -= change[1]
-        if new is half or np.abs(new - half).max() <= SAME:
-            break
-        half, new = new, half if half is not alone else np.empty_like(alone)
-    return new, move[:, :, -1]
+    _, m, n = x.shape
+    columns = -(-n // RUNS)
+    rows = -(-n // columns)
+    y = np.zeros((2, m, columns * rows), dtype=np.float32)
+    np.multiply(x, np.float32(-2), out=y[:, :, :n])
+    y = np.ascontiguousarray(y.reshape(2, m, columns, rows).transpose(3, 0, 1, 2)).reshape(rows, 2, -1)
+    move, before = y * np.repeat(w, columns, axis=1), np.zeros_like(y)
+    alone = move[:, 0] + move[:, 1]
+    odds, new, error = alone, np.empty_like(alone), np.empty_like(alone)
+    apart = [1 << k for k in range((rows - 1).bit_length())]
+    with np.errstate(over="ignore", under="ignore"):
+        for _ in range(n + 1):
+            np.exp(odds, out=error)
+            error += _ONE
+            np.divide(y, error[:, None], out=move)
+            ends = move.sum(axis=0).reshape(2, m, columns).cumsum(axis=2)
+            before[0].reshape(2, m, columns)[:, :, 1:] = ends[:, :, :-1]
+            before[1:] = move[:-1]
+            for k in apart:
+                before[k:] += before[:-k]
+            np.multiply(y, before, out=move)
+            new[:] = move[:, 0]
+            new += move[:, 1]
+            new += alone
+            np.subtract(new, odds, out=error)
+            if np.abs(error, out=error).max() <= 2 * SAME:
+                break
+            odds, new = new, odds if odds is not alone else np.empty_like(alone)
+    return new.reshape(rows, m, columns).transpose(1, 2, 0).reshape(m, -1)[:, :n] * np.float32(-0.5), -ends[:, :, -1]
 
 
 # --- ranges of contexts ------------------------------------------------------------------------------------
